@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 from lumenframe.llm.common import U64, byte_rows, components, cut, mix, shingle_set
 
 GROUPS = 64
+#: Bits of the filter of documents that share a key; 4 MB, whatever the input. More candidates than that let more texts pass, and the join drops those.
+FILTER_BITS = 1 << 25
 
 
 class Bands:
@@ -127,6 +129,27 @@ def set_rows(size: int):
     return run
 
 
+def _slot(doc_id):
+    return F.pmod(F.xxhash64(doc_id), F.lit(FILTER_BITS))
+
+
+def likely(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs (doc_id, text) that may be among ids (doc_id): their texts need not be shuffled to find most others out."""
+    slot = ids.select(_slot("doc_id").alias("slot"))
+    marks = slot.groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits")).toPandas()
+    filled = np.zeros(FILTER_BITS >> 6, U64)
+    filled[marks["word"].to_numpy(np.int64)] = marks["bits"].to_numpy(np.int64).view(U64)
+    shared = docs.sparkSession.sparkContext.broadcast(filled)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
+            found = (shared.value[at >> 6] >> (at & 63).astype(U64)) & U64(1)
+            yield batch.select([0, 1]).filter(pa.array(found.astype(bool)))
+
+    return docs.where("doc_id is not null").select("doc_id", "text", _slot("doc_id").alias("slot")).mapInArrow(run, "doc_id long, text string")
+
+
 class CountTree:
     """R-tree over count vectors; bulk-loaded by size, then by the coordinate that varies most."""
 
@@ -213,7 +236,7 @@ def jaccard_components(docs: DataFrame, size: int = 3, num: int = 9, den: int =
     leader = F.min("doc_id").over(Window.partitionBy("key"))
     seen = cut(rows.withColumn("leader", leader).where("n >= 0 or leader < doc_id").select("doc_id", "n", "leader"), "keys")
     blocks = components(seen.where("n < 0").select(F.col("doc_id").alias("a"), F.col("leader").alias("b")), "blocks")
-    inside = docs.join(blocks.select(F.col("node").alias("doc_id"), F.col("component").alias("block")), "doc_id")
+    inside = likely(docs, blocks.select(F.col("node").alias("doc_id"))).join(blocks.select(F.col("node").alias("doc_id"), F.col("component").alias("block")), "doc_id")
     sets = cut(inside.mapInArrow(set_rows(size), "block long, doc_id long, fp binary, n int, shingles binary").where("n > 0"), "sets")
     reps = sets.groupBy("block", "fp").agg(F.min("doc_id").alias("rep"), F.first("shingles").alias("shingles"))
     members = sets.select("block", "fp", "doc_id").join(reps.select("block", "fp", "rep"), ["block", "fp"]).where("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
