@@ -113,18 +113,14 @@ def key_rows(size: int, num: int, den: int):
     return run
 
 
-def set_rows(size: int):
-    """(doc_id, text, block) -> (block, doc_id, fp, n, shingles): the whole set as bytes and its digest."""
+def digest_rows(size: int):
+    """(doc_id, text) -> (doc_id, fp): the digest of the whole set, for sets with shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(t, size) for t in byte_rows(batch.column(1))]
-            raw = [s.tobytes() for s in sets]
-            fps = [hashlib.blake2b(r, digest_size=16).digest() for r in raw]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(2), batch.column(0), pa.array(fps, pa.binary()), pa.array([len(s) for s in sets], pa.int32()), pa.array(raw, pa.binary())],
-                names=["block", "doc_id", "fp", "n", "shingles"],
-            )
+            fps = pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), fps], names=["doc_id", "fp"]).filter(fps.is_valid())
 
     return run
 
@@ -212,10 +208,10 @@ def forest(ids: list[int], sets: list[np.ndarray], side: list[int], num: int, de
     return links
 
 
-def block_links(num: int, den: int):
+def block_links(size: int, num: int, den: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("rep", kind="stable")
-        sets = [np.frombuffer(b, U64) for b in rows["shingles"]]
+        sets = [shingle_set(t, size) for t in rows["text"]]
         cross = bool((rows["i"] != rows["j"]).iloc[0])
         links = forest(rows["rep"].tolist(), sets, rows["mine"].tolist(), num, den, cross)
         return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
@@ -236,15 +232,19 @@ def jaccard_components(docs: DataFrame, size: int = 3, num: int = 9, den: int =
     leader = F.min("doc_id").over(Window.partitionBy("key"))
     seen = cut(rows.withColumn("leader", leader).where("n >= 0 or leader < doc_id").select("doc_id", "n", "leader"), "keys")
     blocks = components(seen.where("n < 0").select(F.col("doc_id").alias("a"), F.col("leader").alias("b")), "blocks")
-    inside = likely(docs, blocks.select(F.col("node").alias("doc_id"))).join(blocks.select(F.col("node").alias("doc_id"), F.col("component").alias("block")), "doc_id")
-    sets = cut(inside.mapInArrow(set_rows(size), "block long, doc_id long, fp binary, n int, shingles binary").where("n > 0"), "sets")
-    reps = sets.groupBy("block", "fp").agg(F.min("doc_id").alias("rep"), F.first("shingles").alias("shingles"))
-    members = sets.select("block", "fp", "doc_id").join(reps.select("block", "fp", "rep"), ["block", "fp"]).where("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    many = sets.select("block", "fp").distinct().groupBy("block").count().where("count > 1").withColumn("tiles", F.ceil(F.col("count") / tile).cast("int"))
+    inside = blocks.select(F.col("node").alias("doc_id"), F.col("component").alias("block"))
+    digests = likely(docs, inside).mapInArrow(digest_rows(size), "doc_id long, fp binary")
+    sets = cut(digests.join(inside, "doc_id"), "sets")
+    reps = sets.groupBy("block", "fp").agg(F.min("doc_id").alias("rep"))
+    members = sets.join(reps, ["block", "fp"]).where("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    many = reps.groupBy("block").count().where("count > 1").withColumn("tiles", F.ceil(F.col("count") / tile).cast("int"))
     tiled = reps.join(many.select("block", "tiles"), "block").withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
-    tiled = tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    tiled = tiled.select("block", "rep", "shingles", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
-    links = tiled.groupBy("block", "i", "j").applyInPandas(block_links(num, den), "a long, b long")
+    tiled = cut(tiled.select("block", "rep", "tiles", "mine").distinct(), "tiled")
+    # only now do texts move, and only those of different sets in blocks of two or more
+    texts = likely(docs, tiled.select(F.col("rep").alias("doc_id"))).select(F.col("doc_id").alias("rep"), F.col("text").cast("binary").alias("text"))
+    tiled = tiled.join(texts, "rep").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    tiled = tiled.select("block", "rep", "text", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
+    links = tiled.groupBy("block", "i", "j").applyInPandas(block_links(size, num, den), "a long, b long")
     found = components(links.union(members), "links")
     own = seen.where("n >= 0").select("doc_id", F.col("n").cast("long").alias("n_shingles"))
     return own.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
