@@ -1,16 +1,17 @@
 """N-gram Jaccard join over a count-vector R-tree.
 
-1. Every document becomes the set of its shingle hashes. The hash range is cut
-   into token groups, and the groups' contents are the root directory of the
-   index: if two sets differ in at most D shingles, then of D + 1 groups one is
-   equal in both. So only documents that share the content of a group can link,
-   and they land in one block. A document sends few words' worth of 8-byte keys,
-   not its text. Equal keys of one input batch collapse before the shuffle.
-2. In a block, each set is a point of token-group counts in a bulk-loaded R-tree.
-   The sum of the smaller coordinates bounds the overlap of two sets, and of a set
-   and all that lies below a node; what survives is compared shingle by shingle.
-3. Links are a spanning forest of each block: a pair that is already connected
-   there is skipped, so a group of copies gives links in proportion to its size.
+1. Every document becomes the set of its shingle hashes; equal sets are one point.
+   Each point is a vector of counts: how many shingles fall into each token group.
+2. Root directory: the hash range is also cut into D + 1 parts, D being the most
+   shingles by which linked sets of such a size may differ; so linked sets are
+   equal in one part, and only points with an equal part meet. A document sends
+   few 8-byte keys, not its text.
+3. Points that meet are bounded: the sum of the smaller coordinates is at least
+   their overlap. Points that the bound lets link form blocks.
+4. In a block, a bulk-loaded R-tree over the count vectors bounds each set against
+   whole nodes and then points; what survives is compared shingle by shingle.
+   Links are a spanning forest of each block: a pair that is connected already is
+   skipped, so a group of copies gives links in proportion to its size.
 
 No bucket has a cap: blocks of more than `tile` different sets are split in
 tiles, and each pair of tiles is one task.
@@ -80,47 +81,115 @@ def group_keys(found: np.ndarray, bands: Bands) -> np.ndarray:
 
 
 def key_rows(size: int, num: int, den: int):
-    """Batches of (doc_id, text) -> rows (key, doc_id, n): the sets' keys with n = -1, and one row for each document with its set size."""
+    """Batches of (doc_id, text) -> rows (key, doc_id). Of equal sets in a batch the smallest doc_id sends keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(num, den)
         for batch in batches:
             ids = batch.column(0).to_pylist()
             texts = byte_rows(batch.column(1))
-            sizes, keys, owners = np.empty(len(ids), np.int32), [], []
-            for k in sorted(range(len(ids)), key=lambda k: (ids[k] is None, ids[k])):
+            keys, owners, sent = [np.empty(0, U64)], [np.empty(0, np.int64)], set()
+            for k in sorted(range(len(ids)), key=ids.__getitem__):
                 found = shingle_set(texts[k], size)
-                sizes[k] = len(found)
-                if len(found) and ids[k] is not None:
+                mark = hashlib.blake2b(found.tobytes(), digest_size=16).digest()
+                if len(found) and mark not in sent:
+                    sent.add(mark)
                     keys.append(group_keys(found, bands))
                     owners.append(np.full(len(keys[-1]), ids[k], np.int64))
-            key = np.concatenate(keys) if keys else np.empty(0, U64)
-            owner = np.concatenate(owners) if owners else np.empty(0, np.int64)
-            # equal keys in this batch: the smallest document stands for all, and each other gets a key with it
-            order = np.argsort(key, kind="stable")
-            key, owner = key[order], owner[order]
-            first = np.r_[True, key[1:] != key[:-1]] if len(key) else np.empty(0, bool)
-            leader = owner[np.flatnonzero(first)][np.cumsum(first) - 1] if len(key) else owner
-            pairs = np.unique(np.stack([leader, owner])[:, ~first & (leader != owner)], axis=1)
-            own = mix(mix(pairs[0].astype(U64)) + pairs[1].astype(U64) * U64(0xD1342543DE82EF95))
-            key = np.concatenate([key[first], own, own]).view(np.int64)
-            owner = np.concatenate([owner[first], pairs[0], pairs[1]])
-            doc = pa.concat_arrays([pa.array(ids, pa.int64()), pa.array(owner)])
-            alone = mix(np.arange(len(ids), dtype=U64) + U64(0xBF58476D1CE4E5B9)).view(np.int64)
-            n = np.concatenate([sizes, np.full(len(key), -1, np.int32)])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([alone, key])), doc, pa.array(n)], names=["key", "doc_id", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(owners))], names=["key", "doc_id"])
 
     return run
 
 
-def digest_rows(size: int):
-    """(doc_id, text) -> (doc_id, fp): the digest of the whole set, for sets with shingles."""
+def counts_of(found: np.ndarray) -> np.ndarray:
+    """Count vector of a set: a power of two of groups, so that a group holds 8 shingles or fewer on average."""
+    groups = GROUPS
+    while len(found) > 8 * groups:
+        groups *= 2
+    return np.bincount((found & U64(groups - 1)).astype(np.int64), minlength=groups)
+
+
+def point_rows(size: int):
+    """(doc_id, text) -> (doc_id, n, fp, counts): set size, digest of the whole set and count vector, both null for none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(t, size) for t in byte_rows(batch.column(1))]
-            fps = pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), fps], names=["doc_id", "fp"]).filter(fps.is_valid())
+            fps = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
+            vectors = [counts_of(s).astype("<u2").tobytes() if len(s) else None for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, sets), pa.int64()), pa.array(fps, pa.binary()), pa.array(vectors, pa.binary())], names=["doc_id", "n", "fp", "counts"])
+
+    return run
+
+
+def folded(vectors: list[bytes], groups: int) -> np.ndarray:
+    """Count vectors as rows, with `groups` groups each."""
+    out = np.empty((len(vectors), groups), np.int32)
+    for k, v in enumerate(vectors):
+        out[k] = np.frombuffer(v, "<u2").reshape(-1, groups).sum(axis=0)
+    return out
+
+
+def bounded_pairs(key: np.ndarray, doc: np.ndarray, n: np.ndarray, vectors: list[bytes], num: int, den: int) -> np.ndarray:
+    """Edges (a, b) that connect what the overlap bound allows to link among rows of equal key; rows come by key."""
+    first = np.r_[True, key[1:] != key[:-1]]
+    group = np.cumsum(first) - 1
+    ends = np.r_[np.flatnonzero(first)[1:], len(key)]
+    # points of a group are compared in as many token groups as its shortest vector has
+    length = np.array([len(v) // 2 for v in vectors])
+    shortest = np.minimum.reduceat(length, np.flatnonzero(first))[group]
+    edges = []
+    for groups in np.unique(shortest):
+        rows = np.flatnonzero(shortest == groups)
+        points = folded([vectors[k] for k in rows], int(groups))
+        end = np.searchsorted(rows, ends[group[rows]])
+        size, label = n[rows], np.arange(len(rows))
+        left = np.arange(len(rows))
+        step = 1
+        while len(left := left[left + step < end[left]]):
+            i = left[label[left] != label[left + step]]
+            i = i[np.minimum(size[i], size[i + step]) * den >= num * np.maximum(size[i], size[i + step])]
+            for low in range(0, len(i), 1 << 15):
+                a = i[low : low + (1 << 15)]
+                b = a + step
+                ok = np.minimum(points[a], points[b]).sum(axis=1, dtype=np.int64) * (num + den) >= num * (size[a] + size[b])
+                a, b = a[ok], b[ok]
+                edges.append(np.stack([doc[rows[a]], doc[rows[b]]]))
+                for x, y in zip(label[a].tolist(), label[b].tolist(), strict=True):
+                    if x != y:  # rows of one label all lie in one key's run
+                        lo, hi = min(x, y), max(x, y)
+                        run = slice(lo, end[lo])
+                        label[run][label[run] == hi] = lo
+            step += 1
+    found = np.concatenate(edges, axis=1) if edges else np.empty((2, 0), np.int64)
+    return np.unique(found[:, found[0] != found[1]], axis=1)
+
+
+def bound_rows(num: int, den: int):
+    """Rows (key, doc_id, n, counts) sorted by key -> edges. A key's rows may go over several batches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[pa.RecordBatch] = []
+
+        def edges() -> pa.RecordBatch:
+            rows = pa.Table.from_batches(kept)
+            column = lambda k: rows.column(k).to_numpy()
+            found = bounded_pairs(column(0), column(1), column(2), rows.column(3).to_pylist(), num, den)
+            return pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], names=["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = batch.column(0).to_numpy()
+            last = int(np.searchsorted(key, key[-1]))  # where the last key, which may go on, begins
+            if last or (kept and kept[-1].column(0)[-1].as_py() != key[0]):
+                if last:
+                    kept.append(batch.slice(0, last))
+                yield edges()
+                kept = []
+            kept.append(batch.slice(last))
+        if kept:
+            yield edges()
 
     return run
 
@@ -143,7 +212,7 @@ def likely(docs: DataFrame, ids: DataFrame) -> DataFrame:
             found = (shared.value[at >> 6] >> (at & 63).astype(U64)) & U64(1)
             yield batch.select([0, 1]).filter(pa.array(found.astype(bool)))
 
-    return docs.where("doc_id is not null").select("doc_id", "text", _slot("doc_id").alias("slot")).mapInArrow(run, "doc_id long, text string")
+    return docs.where("doc_id is not null").select("doc_id", "text", _slot(F.col("doc_id")).alias("slot")).mapInArrow(run, "doc_id long, text string")
 
 
 class CountTree:
@@ -190,9 +259,8 @@ def forest(ids: list[int], sets: list[np.ndarray], side: list[int], num: int, de
         return x
 
     sizes = np.array([len(s) for s in sets], np.int64)
-    points = np.zeros((m, GROUPS), np.int32)
-    for k, s in enumerate(sets):
-        points[k] = np.bincount((s & U64(GROUPS - 1)).astype(np.int64), minlength=GROUPS)
+    vectors = [counts_of(s) for s in sets]
+    points = folded([v.astype("<u2").tobytes() for v in vectors], min(map(len, vectors)))
     as_set = [frozenset(s.tolist()) for s in sets]
     links = []
     tree = CountTree(points, sizes) if m > 2 else None
@@ -228,25 +296,26 @@ def jaccard_components(docs: DataFrame, size: int = 3, num: int = 9, den: int =
     doc_id has a null component. Other columns are not read. An empty table gives none.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = docs.mapInArrow(key_rows(size, num, den), "key long, doc_id long, n int")
-    leader = F.min("doc_id").over(Window.partitionBy("key"))
-    seen = cut(rows.withColumn("leader", leader).where("n >= 0 or leader < doc_id").select("doc_id", "n", "leader"), "keys")
-    blocks = components(seen.where("n < 0").select(F.col("doc_id").alias("a"), F.col("leader").alias("b")), "blocks")
-    inside = blocks.select(F.col("node").alias("doc_id"), F.col("component").alias("block"))
-    digests = likely(docs, inside).mapInArrow(digest_rows(size), "doc_id long, fp binary")
-    sets = cut(digests.join(inside, "doc_id"), "sets")
-    reps = sets.groupBy("block", "fp").agg(F.min("doc_id").alias("rep"))
-    members = sets.join(reps, ["block", "fp"]).where("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    many = reps.groupBy("block").count().where("count > 1").withColumn("tiles", F.ceil(F.col("count") / tile).cast("int"))
-    tiled = reps.join(many.select("block", "tiles"), "block").withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
-    tiled = cut(tiled.select("block", "rep", "tiles", "mine").distinct(), "tiled")
-    # only now do texts move, and only those of different sets in blocks of two or more
+    points = cut(docs.mapInArrow(point_rows(size), "doc_id long, n long, fp binary, counts binary"), "points")
+    sets = points.where("fp is not null and doc_id is not null")
+    reps = sets.groupBy("fp").agg(F.min("doc_id").alias("rep"))
+    members = sets.select("fp", "doc_id").join(reps, "fp").where("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    # keys of the different sets, and of those the ones that several have
+    rows = likely(docs, reps.select(F.col("rep").alias("doc_id"))).mapInArrow(key_rows(size, num, den), "key long, doc_id long")
+    of_key = Window.partitionBy("key")
+    meet = cut(rows.select("key", "doc_id", (F.min("doc_id").over(of_key) < F.max("doc_id").over(of_key)).alias("_many")).where("_many").select("key", "doc_id"), "keys")
+    dealt = meet.join(sets.select("doc_id", "n", "counts"), "doc_id").select("key", "doc_id", "n", "counts").repartition("key").sortWithinPartitions("key", "n", "doc_id")
+    blocks = components(dealt.mapInArrow(bound_rows(num, den), "a long, b long"), "blocks")
+    # only now do texts move, and only those of sets that the bound lets link; equal sets meet too, which does no harm
+    many = blocks.groupBy("component").count().withColumn("tiles", F.ceil(F.col("count") / tile).cast("int"))
+    tiled = blocks.join(many.select("component", "tiles"), "component").select(F.col("component").alias("block"), F.col("node").alias("rep"), "tiles")
+    tiled = cut(tiled.withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int")), "tiled")
     texts = likely(docs, tiled.select(F.col("rep").alias("doc_id"))).select(F.col("doc_id").alias("rep"), F.col("text").cast("binary").alias("text"))
     tiled = tiled.join(texts, "rep").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     tiled = tiled.select("block", "rep", "text", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
     links = tiled.groupBy("block", "i", "j").applyInPandas(block_links(size, num, den), "a long, b long")
     found = components(links.union(members), "links")
-    own = seen.where("n >= 0").select("doc_id", F.col("n").cast("long").alias("n_shingles"))
+    own = points.select("doc_id", F.col("n").alias("n_shingles"))
     return own.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
