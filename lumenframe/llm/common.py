@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +45,15 @@ def byte_rows(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
+def small(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """The batches in slices, so that what is made of one stays small; spare memory goes back after each batch."""
+    for batch in batches:
+        for low in range(0, batch.num_rows, rows):
+            yield batch.slice(low, rows)
+        del batch
+        pa.default_memory_pool().release_unused()
+
+
 def words(text: bytes | None) -> list[bytes]:
     """Words [^\\x20\\x09-\\x0D]+ with A-Z in lower case; none for null."""
     return text.lower().split() if text else []
@@ -63,7 +73,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class WordHash(dict):
     """word -> stable 64-bit hash, remembered for up to `most` words."""
 
-    def __init__(self, most: int = 300_000):
+    def __init__(self, most: int = 150_000):
         super().__init__()
         self.most = most
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import U64, byte_rows, components, cut, mix, shingle_set
+from lumenframe.llm.common import U64, byte_rows, components, cut, mix, shingle_set, small
 
 GROUPS = 64
 #: Bits of the filter of documents that share a key; 4 MB, whatever the input. More candidates than that let more texts pass, and the join drops those.
@@ -85,7 +85,7 @@ def key_rows(size: int, num: int, den: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(num, den)
-        for batch in batches:
+        for batch in small(batches):
             ids = batch.column(0).to_pylist()
             texts = byte_rows(batch.column(1))
             keys, owners, sent = [np.empty(0, U64)], [np.empty(0, np.int64)], set()
@@ -113,7 +113,7 @@ def point_rows(size: int):
     """(doc_id, text) -> (doc_id, n, fp, counts): set size, digest of the whole set and count vector, both null for none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             sets = [shingle_set(t, size) for t in byte_rows(batch.column(1))]
             fps = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
             vectors = [counts_of(s).astype("<u2").tobytes() if len(s) else None for s in sets]
@@ -198,21 +198,24 @@ def _slot(doc_id):
     return F.pmod(F.xxhash64(doc_id), F.lit(FILTER_BITS))
 
 
-def likely(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs (doc_id, text) that may be among ids (doc_id): their texts need not be shuffled to find most others out."""
+def likely(docs: DataFrame, ids: DataFrame, then=None, schema: str = "doc_id long, text string") -> DataFrame:
+    """docs (doc_id, text) that may be among ids (doc_id), or what `then` makes of them: most other texts need not be shuffled to find them out."""
     slot = ids.select(_slot("doc_id").alias("slot"))
     marks = slot.groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits")).toPandas()
     filled = np.zeros(FILTER_BITS >> 6, U64)
     filled[marks["word"].to_numpy(np.int64)] = marks["bits"].to_numpy(np.int64).view(U64)
     shared = docs.sparkSession.sparkContext.broadcast(filled)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
             found = (shared.value[at >> 6] >> (at & 63).astype(U64)) & U64(1)
             yield batch.select([0, 1]).filter(pa.array(found.astype(bool)))
 
-    return docs.where("doc_id is not null").select("doc_id", "text", _slot(F.col("doc_id")).alias("slot")).mapInArrow(run, "doc_id long, text string")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return then(passed(batches)) if then else passed(batches)
+
+    return docs.where("doc_id is not null").select("doc_id", "text", _slot(F.col("doc_id")).alias("slot")).mapInArrow(run, schema)
 
 
 class CountTree:
@@ -301,7 +304,7 @@ def jaccard_components(docs: DataFrame, size: int = 3, num: int = 9, den: int =
     reps = sets.groupBy("fp").agg(F.min("doc_id").alias("rep"))
     members = sets.select("fp", "doc_id").join(reps, "fp").where("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     # keys of the different sets, and of those the ones that several have
-    rows = likely(docs, reps.select(F.col("rep").alias("doc_id"))).mapInArrow(key_rows(size, num, den), "key long, doc_id long")
+    rows = likely(docs, reps.select(F.col("rep").alias("doc_id")), key_rows(size, num, den), "key long, doc_id long")
     of_key = Window.partitionBy("key")
     meet = cut(rows.select("key", "doc_id", (F.min("doc_id").over(of_key) < F.max("doc_id").over(of_key)).alias("_many")).where("_many").select("key", "doc_id"), "keys")
     dealt = meet.join(sets.select("doc_id", "n", "counts"), "doc_id").select("key", "doc_id", "n", "counts").repartition("key").sortWithinPartitions("key", "n", "doc_id")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import byte_rows, cut
+from lumenframe.llm.common import byte_rows, cut, small
 from lumenframe.llm.tokens import encoder
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -127,7 +127,7 @@ def _packed(path: str, size: int, most: int):
             columns = list(zip(*found, strict=True)) or [()] * len(names)
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
 
-        for batch in batches:
+        for batch in small(batches):
             for doc, text in zip(batch.column(0).to_pylist(), byte_rows(batch.column(1)), strict=True):
                 coded = ids(text) + END
                 packer.put((doc, 0, coded, len(coded) // 4))

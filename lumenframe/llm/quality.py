@@ -12,7 +12,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import U64, byte_rows
+from lumenframe.llm.common import U64, byte_rows, small
 
 WINDOW = 8
 SYMBOLS = b"#*$%&|<>"
@@ -149,7 +149,7 @@ def quality(docs: DataFrame, rules: Rules | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in SCHEMA.split(", ")]
-        for batch in batches:
+        for batch in small(batches):
             rows = list(zip(*(judge(t, rules)[0] for t in byte_rows(batch.column(1))), strict=True)) or [()] * 7
             columns = [pa.array(r, pa.int64()) for r in rows[:5]] + [pa.array(r, pa.bool_()) for r in rows[5:]]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=names)
@@ -163,7 +163,7 @@ def clean(docs: DataFrame, rules: Rules | None = None) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             done = [judge(t, rules) for t in byte_rows(batch.column(at))]
             texts = pa.array([t for _, t in done], pa.binary()).cast(batch.schema.field(at).type)
             batch = pa.RecordBatch.from_arrays([texts if k == at else c for k, c in enumerate(batch.columns)], schema=batch.schema)

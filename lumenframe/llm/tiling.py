@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import U64, byte_rows, mix
+from lumenframe.llm.common import U64, byte_rows, mix, small
 
 BLOCK_BYTES = 8 << 20
 _TABLE = bytes((b + 32 if 65 <= b <= 90 else b) if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
@@ -175,7 +175,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: int = 5, share: float =
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in small(batches):
                 hits = _tiler(shared, least, share).hits
                 found = [(d, *h) for d, t in zip(batch.column(0).to_pylist(), byte_rows(batch.column(1)), strict=True) for h in hits(t)]
                 columns = list(zip(*found, strict=True)) or [()] * 5
@@ -194,7 +194,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, least: int = 5, share:
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in small(batches):
                 hits = _tiler(shared, least, share).hits
                 yield batch.filter(pa.array([not hits(t) for t in byte_rows(batch.column(at))], pa.bool_()))
 

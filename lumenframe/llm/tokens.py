@@ -18,12 +18,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumenframe.llm.common import small
+
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Fixed value: how byte-level BPE vocabularies of this family split text.
 PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 
 
 @functools.cache
@@ -138,7 +140,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
         if path not in _counters:
             _counters[path] = Counter(path)
         count = _counters[path].count
-        for batch in batches:
+        for batch in small(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([count(x) for x in batch.column(2).to_pylist()], pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
 
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
