@@ -25,7 +25,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Fixed value: how byte-level BPE vocabularies of this family split text.
 PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-REMEMBERED = 250_000
+REMEMBERED = 1_000_000
 
 
 @functools.cache
@@ -84,13 +84,13 @@ class Counter:
     def merged(self, pre_tokens: list[str]) -> int:
         """Tokens of pre-tokens: one for each proved one, and what merging leaves of the rest."""
         rest = [x for x in pre_tokens if x not in self.whole]
-        return len(pre_tokens) - len(rest) + sum(len(c.ids) for c in self.model.encode_batch(rest, add_special_tokens=False)) if rest else len(pre_tokens)
+        return len(pre_tokens) - len(rest) + sum(len(c.ids) for c in self.model.encode_batch_fast(rest, add_special_tokens=False)) if rest else len(pre_tokens)
 
     def learn(self, texts: list[str], space: str, known: dict[str, int]) -> dict[str, int]:
         """Counts of words that are not known, each after `space`; remembered while there is room."""
         parts = [self.split.findall(space + x) for x in texts]
         rest = list(dict.fromkeys(p for ps in parts for p in ps if p not in self.whole))
-        size = dict(zip(rest, (len(c.ids) for c in self.model.encode_batch(rest, add_special_tokens=False)), strict=True))
+        size = dict(zip(rest, (len(c.ids) for c in self.model.encode_batch_fast(rest, add_special_tokens=False)), strict=True))
         found = {x: sum(size.get(p, 1) for p in ps) for x, ps in zip(texts, parts, strict=True)}
         if len(known) < REMEMBERED:
             known.update(found)
@@ -163,7 +163,7 @@ class Encoder:
     def learn(self, texts: list[bytes]) -> dict[bytes, bytes]:
         import numpy as np
 
-        coded = self.model.encode_batch([x.decode() for x in texts], add_special_tokens=False)
+        coded = self.model.encode_batch_fast([x.decode() for x in texts], add_special_tokens=False)
         found = {x: np.array(c.ids, "<u4").tobytes() for x, c in zip(texts, coded, strict=True)}
         if len(self.known) < REMEMBERED:
             self.known.update(found)
