@@ -1,7 +1,9 @@
 """Planes as array columns: one row is one image, so nothing is shuffled.
 
-Sizes are known when the plan is made. Coefficients become literals, and a pass is
-one generated expression for each output element.
+Sizes are known when the plan is made. For small planes coefficients become
+literals, and a pass is one generated expression for each output element. Larger
+planes are multiplied in Arrow batches, as so long an expression would take longer
+to compile than to run.
 """
 
 from __future__ import annotations
@@ -10,6 +12,7 @@ import math
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,10 +61,28 @@ def down(plane: Column, width: int, height: int, matrix: np.ndarray) -> Column:
     return F.array(*[combination(columns[x], list(w)) for w in matrix for x in range(width)])
 
 
+#: Products of both passes up to which they are expressions.
+LITERAL_TERMS = 64
+
+
+def times(df: DataFrame, plane: str, width: int, height: int, mx: np.ndarray, my: np.ndarray, out: str) -> DataFrame:
+    """my @ plane @ mx.T, across first."""
+    if height * np.count_nonzero(mx) + len(mx) * np.count_nonzero(my) <= LITERAL_TERMS:
+        df = df.withColumn("_pass", across(F.col(plane), width, height, mx))
+        return df.withColumn(out, down(F.col("_pass"), len(mx), height, my)).drop("_pass")
+
+    def product(planes: pd.Series) -> pd.Series:
+        if not len(planes):
+            return pd.Series([], dtype=object)
+        made = my @ np.stack(planes.to_numpy()).reshape(-1, height, width) @ mx.T
+        return pd.Series(list(made.reshape(len(planes), -1)))
+
+    return df.withColumn(out, F.pandas_udf(product, "array<double>")(F.col(plane).cast("array<double>")))
+
+
 def resampled(df: DataFrame, plane: str, width: int, height: int, to_width: int, to_height: int, kind: str, out: str) -> DataFrame:
     """Two passes, across and then down; no rounding between them."""
-    df = df.withColumn("_pass", across(F.col(plane), width, height, coefficients(width, to_width, kind)))
-    return df.withColumn(out, down(F.col("_pass"), to_width, height, coefficients(height, to_height, kind))).drop("_pass")
+    return times(df, plane, width, height, coefficients(width, to_width, kind), coefficients(height, to_height, kind), out)
 
 
 def box(n: int, radius: int) -> np.ndarray:
@@ -72,8 +93,7 @@ def box(n: int, radius: int) -> np.ndarray:
 
 
 def blurred(df: DataFrame, plane: str, width: int, height: int, radius: int, out: str) -> DataFrame:
-    df = df.withColumn("_pass", across(F.col(plane), width, height, box(width, radius)))
-    return df.withColumn(out, down(F.col("_pass"), width, height, box(height, radius))).drop("_pass")
+    return times(df, plane, width, height, box(width, radius), box(height, radius), out)
 
 
 def grid_factor(n_pixels: int, work_pixels: int = 2_000_000) -> int:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenframe.functions.numeric import byte_even, byte_floor, clamp, sigmoid
-from lumenframe.functions.planes import across, blurred, down, grid_factor, resampled
+from lumenframe.functions.planes import blurred, grid_factor, resampled, times
 
 EPSILON = 1e-5
 #: Usual means and deviations of red, green and blue.
@@ -24,6 +24,10 @@ def each(f, *arrays: str) -> Column:
     return F.transform(at, lambda s: f(*[s[f"f{k}"] for k in range(len(arrays))]))
 
 
+def normalised(plane: str, mean: float, deviation: float) -> Column:
+    return F.transform(plane, lambda v: (v / 255.0 - mean) / deviation)
+
+
 def flatten(df: DataFrame) -> DataFrame:
     """r, g, b on white where the image is transparent."""
     return df.withColumns({c: each(lambda v, a: byte_even(v * (a / 255.0) + 255.0 * (1 - a / 255.0)), c, "a") for c in RGB})
@@ -96,8 +100,7 @@ def foreground(df: DataFrame, width: int, height: int, radii: tuple[int, int] =
     for c in RGB:
         for g in (f"fg_{c}", f"bg_{c}"):
             if s > 1:
-                df = df.withColumn("_p", across(F.col(g), ww, wh, bilinear(width, ww)))
-                df = df.withColumn(g, down(F.col("_p"), width, wh, bilinear(height, wh))).drop("_p")
+                df = times(df, g, ww, wh, bilinear(width, ww), bilinear(height, wh), g)
         share = lambda v: v / 255.0
         soft = lambda f, b, i, a: byte_even((f + share(a) * (share(i) - share(a) * f - (1 - share(a)) * b)) * 255.0)
         df = df.withColumn(c, each(lambda f, b, i, a, soft=soft: F.when(a == 255, i).when(a == 0, 0).otherwise(soft(f, b, i, a)), f"fg_{c}", f"bg_{c}", c, "alpha"))
@@ -123,6 +126,6 @@ def model_input_columns(df: DataFrame, size: tuple[int, int], to: tuple[int, int
     for k, c in enumerate(RGB):
         flat = flat.withColumn(c, F.transform(c, lambda v: v.cast("double")))
         flat = resampled(flat, c, *size, *to, "triangle", f"in_{c}")
-        flat = flat.withColumn(f"in_{c}", F.transform(f"in_{c}", lambda v, k=k: (v / 255.0 - MEAN[k]) / DEVIATION[k]))
+        flat = flat.withColumn(f"in_{c}", normalised(f"in_{c}", MEAN[k], DEVIATION[k]))
     return flat.withColumns({c: F.col(f"_{c}") for c in RGB}).drop(*[f"_{c}" for c in RGB])
 

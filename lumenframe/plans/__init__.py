@@ -1,0 +1,6 @@
+"""Queries of all operators."""
+
+from lumenframe.plans import queries as _queries  # noqa: F401
+from lumenframe.plans.registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]

@@ -22,7 +22,8 @@ def rgba(spark: SparkSession, sf_dir: str) -> DataFrame:
     """vec_id, label, r, g, b, a: 4 x 4 images as byte planes (int)."""
     byte = F.transform("plane", lambda v: F.floor(v * 255 + 0.5).cast("int"))
     df = planes(spark, sf_dir).withColumn("bytes", byte)
-    return df.select("vec_id", "label", *[F.transform(F.sequence(F.lit(0), F.lit(15)), lambda p, k=k: F.col("bytes")[p * 4 + k]).alias(c) for k, c in enumerate("rgba")])
+    channel = lambda k: F.transform(F.sequence(F.lit(0), F.lit(15)), lambda p: F.col("bytes")[p * 4 + k])
+    return df.select("vec_id", "label", *[channel(k).alias(c) for k, c in enumerate("rgba")])
 
 
 def tall(spark: SparkSession, sf_dir: str) -> DataFrame:
