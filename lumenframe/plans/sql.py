@@ -13,7 +13,7 @@ RECTS = "rects AS (SELECT l_orderkey, l_linenumber, l_discount * 5 AS x, l_tax *
 SIZES = "sizes AS (SELECT l_orderkey, l_linenumber, l_quantity::INT::BIGINT * 400 AS width, (l_partkey % 100 + 1) * 200 AS height FROM lineitem)"
 JOBS = "jobs AS (SELECT user_id AS session, event_id AS job, event_type AS stage, value AS progress, ts, props FROM events)"
 HISTORY = "history AS (SELECT user_id AS owner, event_id AS id, ts AS created FROM events)"
-FILES = "files AS (SELECT page_id, url AS name, html, octet_length(html::BLOB) AS n FROM pages)"
+FILES = "files AS (SELECT page_id, url AS name, html, octet_length(encode(html)) AS n FROM pages)"
 
 
 def micro(v: str) -> str:
