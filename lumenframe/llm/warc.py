@@ -32,6 +32,7 @@ from lumenframe.llm.common import byte_rows, cut, shared_dir
 
 BLOCK_LINES = 512
 ARCHIVE_MB = 64
+BROADCAST_DIGESTS = 100_000  # 48 bytes each; beyond, pages go by digest, and the planner may split hot ones
 _HOST = re.compile(r"^[^:/?#]*://(?:[^/?#@]*@)?([^/?#:]*)(:\d+)?([^#]*)", re.S)
 
 
@@ -231,8 +232,10 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0) -> DataF
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     rows = rows.withColumn("sha", F.sha1(F.coalesce("html", F.lit(""))))
     long_enough = F.octet_length(F.coalesce("html", F.lit(""))) >= least_bytes
-    # only payloads that occur again: the larger side's rows go by digest and the planner may split hot digests
+    # payloads that occur again; up to BROADCAST_DIGESTS of them reach every task, so that no page moves for this join
     again = rows.where(long_enough).groupBy("sha").agg(F.max("page_id").alias("response"), F.count("*").alias("copies")).where("copies > 1 and response is not null").select("sha", "response")
+    again = cut(again, "copies")
+    again = F.broadcast(again) if again.count() <= BROADCAST_DIGESTS else again
     rows = rows.join(again, "sha", "left").withColumn("ref", F.when(~F.col("page_id").eqNullSafe(F.col("response")), F.col("response")))
     key = reversed_key_column(F.col("url"))
     dealt = rows.select("page_id", "url", "html", "ref", key.alias("_host")).repartitionByRange("_host", "url", "page_id").sortWithinPartitions("_host", "url", "page_id")
