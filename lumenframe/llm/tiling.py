@@ -12,6 +12,7 @@ size; each block goes to the tasks, and every document meets every block.
 
 from __future__ import annotations
 
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 from itertools import repeat
@@ -153,9 +154,9 @@ def blocks(benchmark: DataFrame) -> Iterator[list[tuple[int | None, bytes | None
 _tilers: dict[str, Tiler] = {}
 
 
-def _tiler(shared, least: int, share: float) -> Tiler:
-    """One for each worker process and block."""
-    key = f"{shared.id if hasattr(shared, 'id') else id(shared)} {least} {share}"
+def _tiler(shared, ident: str, least: int, share: float) -> Tiler:
+    """One for each worker process and block, which ident names."""
+    key = f"{ident} {least} {share}"
     if key not in _tilers:
         _tilers.clear()
         _tilers[key] = Tiler(shared.value, least, share)
@@ -172,11 +173,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: int = 5, share: float =
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = None
     for block in blocks(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(block)
+        shared, ident = docs.sparkSession.sparkContext.broadcast(block), uuid.uuid4().hex
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, ident=ident) -> Iterator[pa.RecordBatch]:
             for batch in small(batches):
-                hits = _tiler(shared, least, share).hits
+                hits = _tiler(shared, ident, least, share).hits
                 found = [(d, *h) for d, t in zip(batch.column(0).to_pylist(), byte_rows(batch.column(1)), strict=True) for h in hits(t)]
                 columns = list(zip(*found, strict=True)) or [()] * 5
                 kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
@@ -191,11 +192,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, least: int = 5, share:
     """docs, in their columns, without those that leak a benchmark text; no shuffle."""
     at = docs.columns.index("text")
     for block in blocks(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(block)
+        shared, ident = docs.sparkSession.sparkContext.broadcast(block), uuid.uuid4().hex
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, ident=ident) -> Iterator[pa.RecordBatch]:
             for batch in small(batches):
-                hits = _tiler(shared, least, share).hits
+                hits = _tiler(shared, ident, least, share).hits
                 yield batch.filter(pa.array([not hits(t) for t in byte_rows(batch.column(at))], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 #: Words of host labels that mark a labelled URL as unwanted.
 UNWANTED = ("ads", "adult", "bets", "casino", "cheap", "pills", "porn", "spam", "track", "viagra", "warez", "xxx")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: At most so many labelled rows fit the trees; they are those with the smallest hashes.
+#: At most so many labelled rows fit the trees; they are chosen by hash.
 FIT_ROWS = 20_000
 
 
@@ -144,9 +144,12 @@ def weak_label(host: Column) -> Column:
 
 
 def train(rows: DataFrame, fit_rows: int = FIT_ROWS) -> Trees:
-    """Trees from at most fit_rows labelled rows of `described`: those with the smallest hashes of their URLs."""
-    sample = rows.where("label is not null").select("url", "host", "path", "suffix_urls", "suffix_bad", "suffix_labelled", "label", F.xxhash64("url", "page_id").alias("order"))
-    got = sample.orderBy("order", "url").limit(fit_rows).toPandas()
+    """Trees from at most fit_rows labelled rows of `described`: those whose hash of URL and id falls in the share that fit_rows is of all labelled rows, less a margin for chance."""
+    labelled = rows.where("label is not null")
+    total = labelled.count()
+    share = min(1.0, max(fit_rows - 5 * math.sqrt(fit_rows), 1) / max(total, 1)) if total > fit_rows else 1.0
+    sample = labelled.select("url", "host", "path", "suffix_urls", "suffix_bad", "suffix_labelled", "label", F.xxhash64("url", "page_id").alias("order"))
+    got = sample.where(F.pmod("order", F.lit(1 << 30)) < int(share * (1 << 30))).toPandas().sort_values(["order", "url"])
     return fit(features(got), got["label"].to_numpy(float))
 
 
