@@ -93,8 +93,8 @@ def reduced(s: Column, e: Column) -> Column:
 def folded(events: DataFrame, by: str, order: str) -> DataFrame:
     """The last state of each log: events (by, order, type, job, stage)."""
     row = F.struct(F.col(order).alias("at"), "type", "job", "stage")
-    logs = events.groupBy(by).agg(F.array_sort(F.collect_list(row)).alias("log"))
-    return logs.select(by, F.aggregate("log", start_state(), reduced).alias("state"))
+    logs = events.groupBy(by).agg(F.array_sort(F.collect_list(row)).alias("_log"))
+    return logs.select(by, F.aggregate("_log", start_state(), reduced).alias("state"))
 
 
 def activity(view: Column, model: Column) -> Column:
