@@ -98,3 +98,15 @@ def blurred(df: DataFrame, plane: str, width: int, height: int, radius: int, out
 
 def grid_factor(n_pixels: int, work_pixels: int = 2_000_000) -> int:
     return max(1, math.ceil(math.sqrt(n_pixels / work_pixels)))
+
+
+def matmul(a: Column, b: Column, n: int) -> Column:
+    """Product of two n x n planes, in Arrow batches."""
+
+    def product(x: pd.Series, y: pd.Series) -> pd.Series:
+        if not len(x):
+            return pd.Series([], dtype=object)
+        square = lambda v: np.stack(v.to_numpy()).reshape(-1, n, n)
+        return pd.Series(list((square(x) @ square(y)).reshape(len(x), -1)))
+
+    return F.pandas_udf(product, "array<double>")(a, b)

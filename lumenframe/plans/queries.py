@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenframe.functions.numeric import byte_floor, half_up, micro, sigmoid
-from lumenframe.functions.planes import blurred, resampled
+from lumenframe.functions.planes import blurred, matmul, resampled
 from lumenframe.operators import matting as M
 from lumenframe.operators import resample as R
 from lumenframe.plans import sql as Q
@@ -147,8 +147,7 @@ def a10_counts_by_flag(spark, sf_dir):
 
 @query(f"WITH {Q.PLANES} SELECT a.vec_id, a.y AS row, b.x AS col, {Q.micro('sum(a.v * b.v)')} AS v FROM planes a JOIN planes b ON a.vec_id = b.vec_id AND a.x = b.y GROUP BY ALL")
 def n01_matmul(spark, sf_dir):
-    cell = lambda i, k: F.aggregate(F.sequence(F.lit(0), F.lit(7)), F.lit(0.0), lambda s, t: s + c("plane")[i * 8 + t] * c("plane")[t * 8 + k])
-    df = B.planes(spark, sf_dir).withColumn("out", F.transform(F.sequence(F.lit(0), F.lit(63)), lambda p: cell(F.floor(p / 8).cast("int"), p % 8)))
+    df = B.planes(spark, sf_dir).withColumn("out", matmul(c("plane"), c("plane"), 8))
     return df.select("vec_id", F.posexplode("out").alias("p", "v")).select("vec_id", F.floor(c("p") / 8).cast("int").alias("row"), (c("p") % 8).alias("col"), micro(c("v")).alias("v"))
 
 
