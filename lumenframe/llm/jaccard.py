@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import U64, byte_rows, components, cut, mix, shingle_set, small
+from lumenframe.llm.common import U64, byte_rows, components, cut, mix, release, shingle_set, small
 
 GROUPS = 64
 #: Bits of the filter of documents that share a key; 4 MB, whatever the input. More candidates than that let more texts pass, and the join drops those.
@@ -307,8 +307,10 @@ def jaccard_components(docs: DataFrame, size: int = 3, num: int = 9, den: int =
     rows = likely(docs, reps.select(F.col("rep").alias("doc_id")), key_rows(size, num, den), "key long, doc_id long")
     of_key = Window.partitionBy("key")
     meet = cut(rows.select("key", "doc_id", (F.min("doc_id").over(of_key) < F.max("doc_id").over(of_key)).alias("_many")).where("_many").select("key", "doc_id"), "keys")
+    release(docs.sparkSession)  # the keys' shuffle is the largest
     dealt = meet.join(sets.select("doc_id", "n", "counts"), "doc_id").select("key", "doc_id", "n", "counts").repartition("key").sortWithinPartitions("key", "n", "doc_id")
     blocks = components(dealt.mapInArrow(bound_rows(num, den), "a long, b long"), "blocks")
+    release(docs.sparkSession)
     # only now do texts move, and only those of sets that the bound lets link; equal sets meet too, which does no harm
     many = blocks.groupBy("component").count().withColumn("tiles", F.ceil(F.col("count") / tile).cast("int"))
     tiled = blocks.join(many.select("component", "tiles"), "component").select(F.col("component").alias("block"), F.col("node").alias("rep"), "tiles")
