@@ -24,9 +24,9 @@ def nfc(text: pd.Series) -> pd.Series:
 def base_name(name: Column) -> Column:
     """A safe file name without folder and extension; the name has to be composed already."""
     out = F.regexp_replace(F.coalesce(name, F.lit("")), r"(?s)^.*[\\/]", "")
-    for pattern, by in ((r"\.[A-Za-z0-9]{1,5}$", ""), (r"[\x00-\x1f\x7f]", "-"), (r'[<>:"/\\|?*]+', "-"), (r"\s+", "-"), (r"-{2,}", "-"), (r"^[-.\s]+|[-.\s]+$", "")):
+    for pattern, by in ((r"\.[A-Za-z0-9]{1,5}\z", ""), (r"[\x00-\x1f\x7f]", "-"), (r'[<>:"/\\|?*]+', "-"), (r"\s+", "-"), (r"-{2,}", "-"), (r"^[-.\s]+|[-.\s]+\z", "")):
         out = F.regexp_replace(out, pattern, by)
-    out = F.when(F.length(out) > 80, F.regexp_replace(F.substring(out, 1, 80), r"[-.\s]+$", "")).otherwise(out)
+    out = F.when(F.length(out) > 80, F.regexp_replace(F.substring(out, 1, 80), r"[-.\s]+\z", "")).otherwise(out)
     out = F.when(out == "", "image").otherwise(out)
     return F.when(out.rlike(RESERVED), F.concat(F.lit("image-"), out)).otherwise(out)
 

@@ -54,10 +54,15 @@ def start_state() -> Column:
     return F.struct(F.lit("idle").alias("view"), F.lit(None).cast("bigint").alias("job"), F.lit(None).cast("string").alias("stage"), F.lit(False).alias("png"), F.lit("unknown").alias("model"), F.lit(False).alias("fell_back")).cast(STATE)
 
 
+def is_current(s: Column, e: Column) -> Column:
+    """Whether event e is of the job on screen."""
+    return s["job"].eqNullSafe(e["job"]) & e["job"].isNotNull()
+
+
 def reduced(s: Column, e: Column) -> Column:
     """The state after event e (type, job, stage). What does not fit the state changes nothing."""
     kind = e["type"]
-    busy, current = s["view"].isin(*BUSY), s["job"].eqNullSafe(e["job"]) & e["job"].isNotNull()
+    busy, current = s["view"].isin(*BUSY), is_current(s, e)
 
     def state(view=None, job=None, stage=None, png=None, model=None, fell=None) -> Column:
         null = lambda t: F.lit(None).cast(t)
@@ -97,6 +102,34 @@ def folded(events: DataFrame, by: str, order: str) -> DataFrame:
     return logs.select(by, F.aggregate("_log", start_state(), reduced).alias("state"))
 
 
+COMMANDED = "struct<job:bigint,busy:boolean,chosen:boolean,cancelled:bigint>"
+
+
+def commanded(commands: DataFrame) -> DataFrame:
+    """Of (session, job, command): session, job on screen, busy, and cancelled: how many running jobs commands ended.
+
+    start takes a new image and supersedes what runs; retry does so with the image
+    there is; cancel ends what runs; start-over also forgets the image; done is the
+    worker's. A fold, by job.
+    """
+    ordered = commands.groupBy("session").agg(F.array_sort(F.collect_list(F.struct("job", "command"))).alias("log"))
+    start = F.struct(F.lit(None).cast("bigint").alias("job"), F.lit(False).alias("busy"), F.lit(False).alias("chosen"), F.lit(0).cast("bigint").alias("cancelled")).cast(COMMANDED)
+
+    def step(s: Column, e: Column) -> Column:
+        kind = e["command"]
+        starts = (kind == "start") | ((kind == "retry") & s["chosen"])
+        ends = s["busy"] & (starts | kind.isin("cancel", "start-over"))
+        return F.struct(
+            F.when(starts, e["job"]).when((kind == "start-over") | ((kind == "cancel") & s["busy"]), F.lit(None)).otherwise(s["job"]).alias("job"),
+            F.when(starts, True).when(kind.isin("start-over", "cancel", "done"), False).otherwise(s["busy"]).alias("busy"),
+            F.when(kind == "start", True).when(kind == "start-over", False).otherwise(s["chosen"]).alias("chosen"),
+            (s["cancelled"] + ends.cast("bigint")).alias("cancelled"),
+        ).cast(COMMANDED)
+
+    end = ordered.select("session", F.aggregate("log", start, step).alias("s"))
+    return end.select("session", "s.job", "s.busy", "s.cancelled")
+
+
 def activity(view: Column, model: Column) -> Column:
     """image, model or null: the heavy work that is going on."""
     return F.when(view.isin(*BUSY), "image").when(model == "loading", "model")

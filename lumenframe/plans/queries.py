@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumenframe.functions import geometry as G
 from lumenframe.functions.numeric import byte_floor, half_up, micro, sigmoid
 from lumenframe.functions.planes import blurred, matmul, resampled
 from lumenframe.operators import matting as M
@@ -305,7 +306,7 @@ _BILINEAR = "look AS (SELECT o, i, sum(w) AS w FROM (SELECT o, floor(g)::INT AS
 
 
 @query(f"WITH {Q.RGBA}, ch AS (SELECT vec_id, p % 4 AS x, p // 4 AS y, b / 255.0::DOUBLE AS v FROM bytes WHERE ch = 0), {Q.resample('ch', 'vec_id', (4, 4), (2, 2), 'box')}, pos AS (SELECT o, least(1.0, greatest(0.0, (o + 0.5)::DOUBLE * 0.5 - 0.5)) AS g FROM range(4) t(o)), {_BILINEAR} SELECT vec_id, lx.o AS x, ly.o AS y, {Q.micro('sum(v * lx.w * ly.w)')} AS v FROM res JOIN look lx ON x = lx.i JOIN look ly ON y = ly.i GROUP BY vec_id, lx.o, ly.o")
-def c20_bilinear_lookup(spark, sf_dir):
+def c20_j07_bilinear_lookup(spark, sf_dir):
     from lumenframe.functions.planes import across, down
 
     df = B.rgba(spark, sf_dir).withColumn("plane", F.transform("r", lambda v: v / 255.0))
@@ -350,15 +351,36 @@ def c23_crop_rows(spark, sf_dir):
     return rows.select("label", "x", "y", micro(c("v")).alias("v"))
 
 
+_DONE, _TARGET = (0.125, 0.1, 0.75, 0.8), (0.25, 0.3, 0.5, 0.4)
+
+
+@query(f"""WITH {Q.TALL}, s AS (SELECT label, 64 AS w, max(y) + 1 AS h FROM tall GROUP BY label),
+    d AS (SELECT label, floor({_DONE[0]} * w + 0.5) AS dx, floor({_DONE[1]}::DOUBLE * h + 0.5) AS dy, floor({_DONE[0] + _DONE[2]} * w + 0.5) - floor({_DONE[0]} * w + 0.5) AS dw, floor({_DONE[1] + _DONE[3]}::DOUBLE * h + 0.5) - floor({_DONE[1]}::DOUBLE * h + 0.5) AS dh FROM s),
+    r AS (SELECT ({_TARGET[0]}::DOUBLE - {_DONE[0]}::DOUBLE) / {_DONE[2]}::DOUBLE AS x, ({_TARGET[1]}::DOUBLE - {_DONE[1]}::DOUBLE) / {_DONE[3]}::DOUBLE AS y, {_TARGET[2]}::DOUBLE / {_DONE[2]}::DOUBLE AS w, {_TARGET[3]}::DOUBLE / {_DONE[3]}::DOUBLE AS h),
+    c AS (SELECT d.*, floor(x * dw + 0.5) AS x0, floor(y * dh + 0.5) AS y0, floor((x + w) * dw + 0.5) AS x1, floor((y + h) * dh + 0.5) AS y1 FROM d, r)
+    SELECT label, (x - dx - x0)::INT AS x, (y - dy - y0)::INT AS y, {Q.micro('v')} AS v, 0 AS inference_ms FROM tall JOIN c USING (label) WHERE x >= dx + x0 AND x < dx + x1 AND y >= dy + y0 AND y < dy + y1""")
+def c27_crop_finished(spark, sf_dir):
+    """A finished result of one part of the image is cropped to a smaller part, without the model."""
+    done, target = G.rect(*map(F.lit, _DONE)), G.rect(*map(F.lit, _TARGET))
+    tall = B.tall(spark, sf_dir)
+    sizes = tall.groupBy("label").agg((F.max("y") + 1).alias("height"))
+    part = G.pixels(done, F.lit(64), c("height"))
+    sizes = sizes.withColumn("d", part).withColumn("t", G.pixels(G.relative(done, target), c("d.w"), c("d.h")))
+    rows = tall.join(sizes, "label").where(G.contains(done, target))
+    rows = rows.withColumn("y", c("y") - c("d.y") - c("t.y")).where((c("y") >= 0) & (c("y") < c("t.h")))
+    cut = rows.select("label", c("y").cast("int").alias("y"), F.posexplode(F.slice("plane", (c("d.x") + c("t.x") + 1).cast("int"), c("t.w").cast("int"))).alias("x", "v"))
+    return cut.select("label", "x", "y", micro(c("v")).alias("v"), F.lit(0).alias("inference_ms"))
+
+
 @query(f"WITH {Q.TALL} SELECT label, {Q.micro('avg(v)')} AS mean, count(*) FILTER (WHERE v > 0.5) AS n FROM tall WHERE x BETWEEN 8 AND 40 AND y BETWEEN 2 AND 20 GROUP BY label")
 def c25_box_mean(spark, sf_dir):
     return _tall_pixels(spark, sf_dir).where("x between 8 and 40 and y between 2 and 20").groupBy("label").agg(micro(F.avg("v")).alias("mean"), F.count_if(c("v") > 0.5).alias("n"))
 
 
-@query(f"WITH {Q.RGBA} SELECT r.vec_id, CASE WHEN q.vec_id IS NULL THEN 'no-longer-available' END AS error, sum(CASE WHEN q.vec_id IS NULL THEN 0 ELSE {_ON('r', 255)} END)::BIGINT AS total FROM rgba r LEFT JOIN (SELECT DISTINCT vec_id FROM rgba WHERE vec_id % 3 <> 0) q USING (vec_id) GROUP BY ALL".replace("SELECT r.vec_id", "SELECT r.vec_id AS vec_id"))
+@query(f"WITH {Q.RGBA} SELECT r.vec_id, CASE WHEN q.vec_id IS NULL THEN 'no-longer-available' END AS error, sum(CASE WHEN q.vec_id IS NULL THEN 0 ELSE {_ON('r', 255)} END)::BIGINT AS total FROM rgba r LEFT JOIN (SELECT DISTINCT vec_id FROM rgba WHERE label <> 3) q USING (vec_id) GROUP BY ALL".replace("SELECT r.vec_id", "SELECT r.vec_id AS vec_id"))
 def c28_render_finished(spark, sf_dir):
     asked = B.planes(spark, sf_dir).select("vec_id")
-    finished = M.composed(B.rgba(spark, sf_dir).where("vec_id % 3 <> 0"), (255, 255, 255)).select("vec_id", "r")
+    finished = M.composed(B.rgba(spark, sf_dir).where("label <> 3"), (255, 255, 255)).select("vec_id", "r")
     total = F.coalesce(F.aggregate("r", F.lit(0).cast("long"), lambda s, v: s + v), F.lit(0))
     return asked.join(finished, "vec_id", "left").select("vec_id", F.when(c("r").isNull(), "no-longer-available").alias("error"), total.alias("total"))
 

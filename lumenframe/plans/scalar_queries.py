@@ -274,11 +274,11 @@ _STRIP = [("'\\.[A-Za-z0-9]{1,5}$'", "''"), ("'[\\x00-\\x1f\\x7f]'", "'-'"), ("'
 _BASE = "regexp_replace(nfc_normalize(text), '^.*[\\\\/]', '', 's')"
 for _pattern, _by in _STRIP:
     _BASE = f"regexp_replace({_BASE}, {_pattern}, {_by}, 'g')"
-_BASE_SQL = f"WITH t AS (SELECT doc_id, left(text, 120) AS text FROM documents), b AS (SELECT doc_id, {_BASE} AS b FROM t), e AS (SELECT doc_id, CASE WHEN length(b) > 80 THEN regexp_replace(left(b, 80), '[-.\\s]+$', '') ELSE b END AS b FROM b), f AS (SELECT doc_id, CASE WHEN b = '' THEN 'image' ELSE b END AS b FROM e), g AS (SELECT doc_id, CASE WHEN regexp_matches(b, '{N.RESERVED}') THEN 'image-' || b ELSE b END AS base FROM f)"
+_BASE_SQL = f"WITH b AS (SELECT doc_id, {_BASE} AS b FROM documents), e AS (SELECT doc_id, CASE WHEN length(b) > 80 THEN regexp_replace(left(b, 80), '[-.\\s]+$', '') ELSE b END AS b FROM b), f AS (SELECT doc_id, CASE WHEN b = '' THEN 'image' ELSE b END AS b FROM e), g AS (SELECT doc_id, CASE WHEN regexp_matches(b, '{N.RESERVED}') THEN 'image-' || b ELSE b END AS base FROM f)"
 
 
 def _bases(spark, sf_dir) -> DataFrame:
-    return B.table(spark, sf_dir, "documents").select("doc_id", N.base_name(N.nfc(F.substring("text", 1, 120))).alias("base"))
+    return B.table(spark, sf_dir, "documents").select("doc_id", N.base_name(N.nfc("text")).alias("base"))
 
 
 @query(f"{_BASE_SQL} SELECT doc_id, base FROM g")
@@ -335,6 +335,13 @@ def f21_route(spark, sf_dir):
     return B.files(spark, sf_dir).select("page_id", N.route(method, url, scope).alias("route"))
 
 
+@query()
+def s01_s12_s13_file_listing(spark, sf_dir):
+    """The tables' own files as a source of files, folders within folders included; contents are not read."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(sf_dir)
+    return found.select(F.substring_index("path", "/", -1).alias("name"), "length").orderBy("name")
+
+
 _PATHS = "paths AS (SELECT DISTINCT regexp_extract(url, '^[^:]+://[^/]+(/[^?#]*)', 1) AS path FROM pages)"
 
 
@@ -345,10 +352,10 @@ def t02_list_digest(spark, sf_dir):
     return B.files(spark, sf_dir).select(path.alias("path")).distinct().agg(F.substring(F.sha2(F.array_join(F.array_sort(F.collect_list("path")), "\n"), 256), 1, 12).alias("id"), F.count("*").alias("n"))
 
 
-@query("SELECT DISTINCT source FROM documents WHERE source IN ('src1', 'src2') OR doc_id < 100")
+@query("SELECT DISTINCT source FROM documents WHERE lang = 'fr' OR n_chars > 5000")
 def u01_union_distinct(spark, sf_dir):
     docs = B.table(spark, sf_dir, "documents")
-    return docs.where(c("source").isin("src1", "src2")).select("source").union(docs.where("doc_id < 100").select("source")).distinct()
+    return docs.where("lang = 'fr'").select("source").union(docs.where("n_chars > 5000").select("source")).distinct()
 
 
 @query("SELECT page_id FROM pages WHERE NOT (url LIKE '%.html' OR url LIKE '%#top' OR url LIKE '%/models/%')")
@@ -386,10 +393,11 @@ def a09_running_total(spark, sf_dir):
     return _pieces(spark, sf_dir).select("page_id", "idx", F.sum("size").over(Window.partitionBy("page_id").orderBy("idx")).cast("long").alias("loaded"))
 
 
-@query(f"WITH {_PARTS} SELECT page_id, idx, idx % 3 <> 0 AND sha256 IN (SELECT sha256 FROM sized WHERE idx % 3 <> 0) OR sha256 IN (SELECT sha256 FROM sized WHERE idx % 3 <> 0) AS hit FROM sized")
+@query(f"WITH {_PARTS} SELECT page_id, idx, sha256 IN (SELECT sha256 FROM sized JOIN pages USING (page_id) WHERE url LIKE 'https://%') AS hit FROM sized")
 def s10_j04_cached_parts(spark, sf_dir):
-    pieces = _pieces(spark, sf_dir)
-    return J.cached_parts(pieces, pieces.where("idx % 3 <> 0")).select("page_id", "idx", "hit")
+    """The cache holds the parts of secure pages."""
+    secure = B.files(spark, sf_dir).where(c("name").startswith("https://"))
+    return J.cached_parts(_pieces(spark, sf_dir), J.parts(secure, "page_id", 1000)).select("page_id", "idx", "hit")
 
 
 @query(f"WITH {_PARTS} SELECT page_id, idx, size > 1000 AS too_large, size < 1000 AS too_small FROM sized")
@@ -415,12 +423,11 @@ def f12_r12_stale(spark, sf_dir):
     return J.with_latest(B.jobs(spark, sf_dir)).select("session", "job", "stale")
 
 
-@query(f"WITH {Q.JOBS} SELECT session, job FROM (SELECT *, max(job) OVER (PARTITION BY session) AS last FROM jobs) WHERE job >= last - 400 AND NOT (stage = 'purchase')")
+@query(f"WITH {Q.JOBS} SELECT session, job FROM (SELECT *, max(job) OVER (PARTITION BY session) AS last FROM jobs) WHERE job = last AND NOT (stage = 'purchase')")
 def r03_supersede_cancel(spark, sf_dir):
+    """What is still worth working on: the latest job of each session, unless it is cancelled."""
     jobs = B.jobs(spark, sf_dir)
-    last = jobs.groupBy("session").agg(F.max("job").alias("last"))
-    recent = jobs.join(last, "session").where("job >= last - 400").drop("last")
-    return J.without_cancelled(recent, jobs.where("stage = 'purchase'")).select("session", "job")
+    return J.without_cancelled(J.latest_only(jobs), jobs.where("stage = 'purchase'")).select("session", "job")
 
 
 @query(f"WITH {Q.JOBS} SELECT a.session, a.job FROM jobs a JOIN (SELECT session, max(job) AS job FROM jobs WHERE stage <> 'view' GROUP BY session) b USING (session, job)".replace("SELECT a.session, a.job", "SELECT session, job"))
@@ -506,10 +513,10 @@ def s11_t01_history_list(spark, sf_dir):
     return B.history(spark, sf_dir).select("owner", "id", rank.alias("rank"))
 
 
-@query(f"WITH {Q.HISTORY}, u AS (SELECT owner, id, CASE WHEN id % 10 = 0 THEN created + INTERVAL 5 DAY ELSE created END AS created FROM history), r AS (SELECT *, row_number() OVER (PARTITION BY owner ORDER BY created DESC, id DESC) AS rank FROM u) SELECT owner, id, rank FROM r WHERE rank <= 12 AND {NOW} - created <= INTERVAL 30 DAY")
+@query(f"WITH {Q.HISTORY}, u AS (SELECT owner, id, CASE WHEN created < TIMESTAMP '2024-01-04 00:00:00' THEN created + INTERVAL 27 DAY ELSE created END AS created FROM history), r AS (SELECT *, row_number() OVER (PARTITION BY owner ORDER BY created DESC, id DESC) AS rank FROM u) SELECT owner, id, rank FROM r WHERE rank <= 12 AND {NOW} - created <= INTERVAL 30 DAY")
 def k07_upsert(spark, sf_dir):
     old = B.history(spark, sf_dir)
-    new = old.where("id % 10 = 0").withColumn("created", c("created") + F.expr("interval 5 days"))
+    new = old.where("created < timestamp_ntz '2024-01-04 00:00:00'").withColumn("created", c("created") + F.expr("interval 27 days"))
     return J.newest(J.upserted(old, new), _now()).select("owner", "id", "rank")
 
 
@@ -558,3 +565,31 @@ def r16_notify_on_change(spark, sf_dir):
         return F.struct(new.alias("s"), (acc["n"] + F.when(new["view"] != acc["s"]["view"], 1).otherwise(0)).cast("long").alias("n"))
 
     return logs.select("conv_id", F.aggregate("log", start, step)["n"].alias("notified"))
+
+
+@query(f"WITH {_FOLD} SELECT f.conv_id AS conv_id, count(*) FILTER (WHERE e.j = f.job) AS current, count(*) FILTER (WHERE e.j IS DISTINCT FROM f.job) AS other FROM f JOIN ev e ON e.conv_id = f.conv_id AND e.k = f.k + 1 GROUP BY f.conv_id")
+def f13_current_events(spark, sf_dir):
+    """How many events of each log are of the job that is on screen when they come."""
+    row = F.struct(c("turn").alias("at"), "type", "job", "stage")
+    logs = _events(spark, sf_dir).groupBy("conv_id").agg(F.array_sort(F.collect_list(row)).alias("log"))
+    start = F.struct(J.start_state().alias("s"), F.lit(0).cast("long").alias("n"))
+    step = lambda acc, e: F.struct(J.reduced(acc["s"], e).alias("s"), (acc["n"] + J.is_current(acc["s"], e).cast("int")).cast("long").alias("n"))
+    n = F.aggregate("log", start, step)["n"]
+    return logs.select("conv_id", n.alias("current"), (F.size("log") - n).alias("other"))
+
+
+_COMMAND = "CASE event_type WHEN 'view' THEN 'start' WHEN 'click' THEN 'start' WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'cancel' ELSE CASE WHEN value > 50 THEN 'start-over' ELSE 'retry' END END"
+
+
+@query(f"""WITH RECURSIVE o AS (SELECT user_id AS session, event_id AS id, {_COMMAND} AS command, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
+    f AS (SELECT DISTINCT session, 0::BIGINT AS k, NULL::BIGINT AS job, FALSE AS busy, FALSE AS chosen, 0::BIGINT AS cancelled FROM o
+        UNION ALL SELECT f.session, o.k, CASE WHEN starts THEN o.id WHEN o.command = 'start-over' OR (o.command = 'cancel' AND f.busy) THEN NULL ELSE f.job END,
+            CASE WHEN starts THEN TRUE WHEN o.command IN ('start-over', 'cancel', 'done') THEN FALSE ELSE f.busy END,
+            CASE o.command WHEN 'start' THEN TRUE WHEN 'start-over' THEN FALSE ELSE f.chosen END,
+            f.cancelled + (f.busy AND (starts OR o.command IN ('cancel', 'start-over')))::INT
+        FROM f JOIN o ON o.session = f.session AND o.k = f.k + 1, LATERAL (SELECT o.command = 'start' OR (o.command = 'retry' AND f.chosen) AS starts))
+    SELECT session, job, busy, cancelled FROM (SELECT *, row_number() OVER (PARTITION BY session ORDER BY k DESC) AS z FROM f) WHERE z = 1""")
+def r14_commands(spark, sf_dir):
+    """Users' commands of each session: the job on screen, whether it runs, and how many running jobs commands have cancelled."""
+    command = F.expr(_COMMAND.replace("event_type", "stage").replace("value", "progress"))
+    return J.commanded(B.jobs(spark, sf_dir).select("session", "job", command.alias("command")))
