@@ -13,12 +13,14 @@ notices, adverts, forms, comments.
 
 from __future__ import annotations
 
+import itertools
+import json
 import re
 from collections.abc import Iterator
 from html import unescape
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenframe.llm.urls import host_of, path_of
@@ -189,12 +191,12 @@ def main_text(lines: list[Line], neighbour: list[Line] | None) -> str:
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted (page_id, url, html, host, path) -> (page_id, url, text). Holds three pages at a time."""
+    """Sorted (page_id, url, html, host, path, own) -> (page_id, url, text) of own pages. Holds three pages at a time."""
 
     def rows() -> Iterator[tuple]:
         for batch in batches:
             for k in range(batch.num_rows):
-                yield tuple(batch.column(c)[k].as_py() for c in range(5))
+                yield tuple(batch.column(c)[k].as_py() for c in range(6))
 
     def near(a: tuple | None, b: tuple | None) -> int:
         """How much of their paths two pages of one host share; -1 if they are not of one host."""
@@ -223,11 +225,12 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     while now is not None:
         after = next(source, None)
         after_lines = page_lines(after[2] or "") if after else None
-        left, right = near(before, now), near(now, after)
-        pair = before_lines if left > right or (left == right and left >= 0) else after_lines if right >= 0 else None
-        text = main_text(now_lines, pair)
-        out.append((now[0], now[1], text))
-        size += len(text)
+        if now[5]:
+            left, right = near(before, now), near(now, after)
+            pair = before_lines if left > right or (left == right and left >= 0) else after_lines if right >= 0 else None
+            text = main_text(now_lines, pair)
+            out.append((now[0], now[1], text))
+            size += len(text)
         if len(out) >= 1000 or size > 8 << 20:
             yield batch()
             out, size = [], 0
@@ -235,6 +238,42 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield batch()
 
 
+KEY = "struct<host:string,path:string,url:string,page_id:bigint>"
+#: URLs that are looked at for each range, to find the ranges' bounds.
+SAMPLED = 50
+
+
+def _constant(value: list, schema: str) -> Column:
+    return F.from_json(F.lit(json.dumps(value)), schema)
+
+
+def dealt(rows: DataFrame, n: int) -> DataFrame:
+    """rows (page_id, url, html, host, path) in at most n ranges, one a task, in order, with `own`.
+
+    Each range also holds the pages next to its two ends, if their host is the same;
+    there they are not `own`. So a page has the same neighbours however many ranges
+    there are. To the driver come SAMPLED keys and two keys for each range.
+    """
+    key = F.struct("host", "path", F.coalesce("url", F.lit("")).alias("url"), F.coalesce("page_id", F.lit(-(1 << 63))).alias("page_id"))
+    rows = rows.withColumn("key", key)
+    found = sorted({tuple(r["key"]) for r in rows.select("key").orderBy(F.xxhash64("key"), "key").limit(SAMPLED * n).collect()})
+    bounds = sorted({found[k * len(found) // n] for k in range(1, n) if found} - set(found[:1]))
+    below = F.filter(_constant([dict(zip(("host", "path", "url", "page_id"), b, strict=True)) for b in bounds], f"array<{KEY}>"), lambda b: b <= F.col("key"))
+    rows = rows.withColumn("range", F.size(below))
+    ends = {r["range"]: r for r in rows.groupBy("range").agg(F.min("key").alias("first"), F.max("key").alias("last")).collect()}
+    held = sorted(ends)
+    guests: list[list[dict]] = [[] for _ in range(len(bounds) + 1)]
+    for a, b in itertools.pairwise(held):
+        if ends[a]["last"]["host"] == ends[b]["first"]["host"]:
+            guests[a].append({"key": ends[a]["last"].asDict(), "to": b})
+            guests[b].append({"key": ends[b]["first"].asDict(), "to": a})
+    here = _constant(guests, f"array<array<struct<key:{KEY},to:int>>>")[F.col("range")]
+    visits = F.transform(F.filter(here, lambda g: g["key"] == F.col("key")), lambda g: g["to"])
+    rows = rows.withColumn("to", F.explode(F.concat(F.array("range"), visits)))
+    rows = rows.withColumn("own", F.col("to") == F.col("range")).repartitionById(len(bounds) + 1, F.col("to"))
+    return rows.sortWithinPartitions("key", "html").select("page_id", "url", "html", "host", "path", "own")
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """One row for each row of pages: page_id, url, text ('' if none), n_chars.
 
@@ -243,13 +282,12 @@ def extract(pages: DataFrame) -> DataFrame:
     page that is a copy of its neighbour keeps what both have. A
     page whose article is marked up gives that article; otherwise what is neither
     furniture nor shared. Of two equally near neighbours the one before counts, by
-    path, then URL, then page_id. Pages are dealt out by ranges of (host, path), so a
-    host of any size is spread over tasks; at the edge of a range a page has the
-    one neighbour that its range holds. Repeated rows give repeated rows. Other
+    path, then URL, then page_id, then html. Pages are dealt out by ranges of (host,
+    path, URL, page_id), so a host of any size is spread over tasks, and neighbours
+    are the same for any number of ranges. Repeated rows give repeated rows. Other
     columns are not read.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     rows = rows.withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
-    keys = ["host", "path", "url", "page_id"]
-    dealt = rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
-    return dealt.mapInArrow(_extract, "page_id long, url string, text string").withColumn("n_chars", F.length("text").cast("long"))
+    n = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt(rows, n).mapInArrow(_extract, "page_id long, url string, text string").withColumn("n_chars", F.length("text").cast("long"))

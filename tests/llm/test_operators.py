@@ -1,5 +1,6 @@
 """Corpus operators against brute force, exact round trips and held-out likelihood."""
 
+import os
 import base64
 import hashlib
 import itertools
@@ -335,6 +336,32 @@ def test_html_differencing_without_marks(spark):
     assert got == {1: "One & only text\n\ntwo three", 2: "Other page", 3: "Site menu line\n\nAlone\n\nShared tail ©", 4: "", 5: "same", 6: "same"}
 
 
+def test_html_is_the_same_for_any_number_of_ranges(spark):
+    rng = np.random.default_rng(3)
+    menu = "<p>Home</p><p>About us</p><p>Contact</p>"
+    pages = [(k, f"http://{'hot' if k % 3 else f'h{k % 4}'}.example.org/{'abc'[k % 3]}/{rng.integers(20)}", f"{menu if k % 5 else ''}<p>Text {rng.integers(6)}</p><p>more {rng.integers(6)}</p>") for k in range(120)]
+    pages += [(None, None, None), (500, None, menu), (500, None, menu + "<p>own</p>"), *pages[:3], (7, pages[7][1], "<p>other</p>" + menu)]
+    docs = spark.createDataFrame(pages, "page_id long, url string, html string")
+    lines = [(p, u, h or "", *(("", "") if u is None else (u[7:].split("/")[0], u[7 + len(u[7:].split("/")[0]) :]))) for p, u, h in pages]
+    order = sorted(lines, key=lambda r: (r[3], r[4], r[1] or "", -(1 << 63) if r[0] is None else r[0], r[2]))
+    shared = lambda a, b: -1 if b is None or a[3] != b[3] else len(os.path.commonprefix([a[4], b[4]]))
+    want = []
+    for k, row in enumerate(order):
+        before, after = order[k - 1] if k else None, order[k + 1] if k + 1 < len(order) else None
+        left, right = shared(row, before), shared(row, after)
+        pair = before if left >= right and left >= 0 else after if right >= 0 else None
+        want.append((row[0], row[1], html.main_text(html.page_lines(row[2]), html.page_lines(pair[2]) if pair else None)))
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in (1, 5, 40):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            got = [(r["page_id"], r["url"], r["text"]) for r in html.extract(docs).collect()]
+            assert sorted(got, key=repr) == sorted(want, key=repr)
+        assert html.extract(docs.where("false")).count() == 0
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+
+
 def test_html_marked_article(spark):
     page = '<body><header>H</header><nav><li>m</nav><article><h1>T</h1><p><b>a&nbsp;b<p>c<div class="ad">buy</div><form><p>f</form><section id="comments"><p>no</section></article><aside>s</aside><footer>f</footer>'
     df = spark.createDataFrame([(1, "http://h/1", page), (2, "http://h/2", page)], "page_id long, url string, html string")
