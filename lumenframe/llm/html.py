@@ -239,7 +239,7 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 KEY = "struct<host:string,path:string,url:string,page_id:bigint>"
-#: URLs that are looked at for each range, to find the ranges' bounds.
+#: URLs that are looked at for each range, on average, to find the ranges' bounds; they are chosen by hash.
 SAMPLED = 50
 
 
@@ -252,11 +252,13 @@ def dealt(rows: DataFrame, n: int) -> DataFrame:
 
     Each range also holds the pages next to its two ends, if their host is the same;
     there they are not `own`. So a page has the same neighbours however many ranges
-    there are. To the driver come SAMPLED keys and two keys for each range.
+    there are. To the driver come about SAMPLED keys and two keys for each range.
     """
     key = F.struct("host", "path", F.coalesce("url", F.lit("")).alias("url"), F.coalesce("page_id", F.lit(-(1 << 63))).alias("page_id"))
     rows = rows.withColumn("key", key)
-    found = sorted({tuple(r["key"]) for r in rows.select("key").orderBy(F.xxhash64("key"), "key").limit(SAMPLED * n).collect()})
+    share = SAMPLED * n / max(rows.count(), 1)
+    seen = rows.select("key").where(F.pmod(F.xxhash64("key"), F.lit(1 << 40)) < int(min(1.0, share) * (1 << 40))).distinct()
+    found = sorted(tuple(r["key"]) for r in seen.collect())
     bounds = sorted({found[k * len(found) // n] for k in range(1, n) if found} - set(found[:1]))
     below = F.filter(_constant([dict(zip(("host", "path", "url", "page_id"), b, strict=True)) for b in bounds], f"array<{KEY}>"), lambda b: b <= F.col("key"))
     rows = rows.withColumn("range", F.size(below))
