@@ -161,9 +161,23 @@ class Trainer:
             self.train(self.c.window)
 
     def finish(self) -> None:
-        """What is left, as far as half of the streams still have words."""
-        while n := min(self.c.window, sorted(self.waiting)[self.c.streams // 2]):
-            self.train(n)
+        """All that is left. A stream without words takes over the second half of the longest queue, so a long text is learnt from to its end."""
+        while any(self.waiting):
+            for k in range(self.c.streams):
+                if not self.waiting[k]:
+                    self.take_over(k)
+            self.train(min(self.c.window, max(self.waiting)))
+
+    def take_over(self, k: int) -> None:
+        """Half of the longest queue for stream k, if that has more than a window. Its context is the word before; the state is not known there."""
+        j = max(range(self.c.streams), key=self.waiting.__getitem__)
+        if self.waiting[j] <= self.c.window:
+            return
+        left = np.concatenate(self.queues[j])
+        at = len(left) // 2
+        self.queues[j], self.queues[k] = [left[:at]], [left[at:]]
+        self.waiting[j], self.waiting[k] = at, len(left) - at
+        self.last[k], self.state[k] = left[at - 1], 0
 
     def train(self, n: int) -> None:
         """One window of n words of each stream; streams that have fewer are masked."""

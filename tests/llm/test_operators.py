@@ -425,6 +425,28 @@ def test_lm_gradient():
         assert grads[name][at] == pytest.approx((loss(up)[0] - loss(low)[0]) / 2e-2, abs=2e-3)
 
 
+@pytest.mark.parametrize("lengths", [[5], [2000], [400, 3, 1, 900], [1] * 20, []])
+def test_lm_learns_from_every_word(lengths):
+    """Few texts, long texts and tails: each word is a target once, after the word before it."""
+    head = lm.Head({b"\n": 0, b"a": 1, b"b": 2, b"c": 3}, np.array([50.0, 30, 20, 10]), 120, 9, lm.Config(hidden=4, embedding=3, network_words=4, class_words=2, streams=8, window=4))
+    rng = np.random.default_rng(4)
+    trainer = lm.Trainer(head, lm.initial(head))
+    want, seen, window = Counter(), Counter(), trainer.window
+
+    def watched(before, target):
+        seen.update((x, y) for x, y in zip(before.ravel().tolist(), target.ravel().tolist()) if y != -2)
+        window(before, target)
+
+    trainer.window = watched
+    for n in lengths:
+        text = np.append(rng.integers(1, 4, n), 0)
+        want.update(zip([0, *text.tolist()], text.tolist()))
+        trainer.add(text)
+    trainer.finish()
+    assert trainer.tokens == sum(lengths) + len(lengths)
+    assert seen == want
+
+
 def test_lm_windows_carry_state():
     rng = np.random.default_rng(1)
     counts = np.array([50.0, 30, 20, 10])
