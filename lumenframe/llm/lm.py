@@ -8,9 +8,9 @@ holds all rarer words and those that training has not seen. The output starts as
 the words' frequencies, so training can only add what the context tells.
 
 Training: truncated backpropagation over windows, with the state carried from one
-window to the next. A fixed share of the training documents, found by hashing, is
-dealt to trainers that work alone; their weights are averaged after each round.
-So what is learnt from grows with the input, and no text goes to the driver.
+window to the next. Every training document is learnt from once, in a round found by
+hashing. A round's documents are dealt to trainers that work alone; their weights are
+averaged after it. No text goes to the driver.
 
 Scoring: whole documents, side by side by length; the state is carried through
 all windows of a document, so its likelihood is complete.
@@ -45,8 +45,7 @@ class Config:
     head_words: int = 200_000  # words that every task knows, with their counts
     window: int = 32
     streams: int = 96  # texts side by side in training
-    share: int = 8  # one of so many training documents is learnt from in each round
-    rounds: int = 2
+    rounds: int = 8  # each training document is learnt from in one of them
     trainer_tokens: int = 500_000
     most_trainers: int = 512  # beyond, each trainer reads more
     rate: float = 0.01
@@ -393,19 +392,19 @@ def _shaped(flat: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarr
 def _average(rows: pd.DataFrame) -> pd.DataFrame:
     share = rows["tokens"].to_numpy(float)
     values = sum(np.frombuffer(v, F32).astype(np.float64) * s for v, s in zip(rows["part"], share / share.sum(), strict=True))
-    return pd.DataFrame({"chunk": [rows["chunk"].iloc[0]], "part": [values.astype(F32).tobytes()]})
+    return pd.DataFrame({"chunk": [rows["chunk"].iloc[0]], "tokens": [rows["tokens"].sum()], "part": [values.astype(F32).tobytes()]})
 
 
-def learn(docs: DataFrame, head: Head) -> dict[str, np.ndarray]:
-    """Weights from (doc_id, text) of training documents."""
-    c, weights = head.config, initial(head)
+def learn(docs: DataFrame, head: Head) -> tuple[dict[str, np.ndarray], int]:
+    """Weights from (doc_id, text) of training documents, and the number of words learnt from."""
+    c, weights, tokens = head.config, initial(head), 0
     if not head.network:
-        return weights
+        return weights, tokens
     spark = docs.sparkSession
-    trainers = int(min(c.most_trainers, max(1, head.total // (c.share * c.trainer_tokens))))
+    trainers = int(min(c.most_trainers, max(1, head.total // (c.rounds * c.trainer_tokens))))
     shared_head = spark.sparkContext.broadcast(head)
     for round_ in range(c.rounds):
-        mine = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(c.share)) == round_ % c.share)
+        mine = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(c.rounds)) == round_)
         shared = spark.sparkContext.broadcast(weights)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -420,10 +419,11 @@ def learn(docs: DataFrame, head: Head) -> dict[str, np.ndarray]:
                 yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int64()), pa.array([trainer.tokens] * len(parts), pa.int64()), pa.array(parts, pa.binary())], names=["chunk", "tokens", "part"])
 
         learnt = mine.repartition(trainers, F.xxhash64("doc_id", F.lit(2))).select("text").mapInArrow(run, "chunk long, tokens long, part binary")
-        averaged = sorted(learnt.groupBy("chunk").applyInPandas(_average, "chunk long, part binary").collect())
+        averaged = sorted(learnt.groupBy("chunk").applyInPandas(_average, "chunk long, tokens long, part binary").collect())
         if averaged:
             weights = _shaped(np.concatenate([np.frombuffer(r["part"], F32) for r in averaged]), weights)
-    return weights
+            tokens += averaged[0]["tokens"]
+    return weights, tokens
 
 
 _scorers: dict[int, Scorer] = {}
@@ -444,7 +444,7 @@ def score_documents(docs: DataFrame, config: Config | None = None) -> DataFrame:
     training = rows.where(~F.col("held_out")).select("doc_id", "text")
     counts = cut(count_words(training), "words")
     head, least = head_of(counts, config)
-    weights = learn(training, head)
+    weights, _ = learn(training, head)
     shared = docs.sparkSession.sparkContext.broadcast((head, weights))
     ident = id(shared)
 

@@ -447,6 +447,15 @@ def test_lm_learns_from_every_word(lengths):
     assert seen == want
 
 
+def test_lm_learns_from_every_training_document(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").union(docs_of(spark, ["a b a", None, "c"], [None, 1, 1]).select("doc_id", "text"))
+    training = docs.where(~lm.held_out(docs["doc_id"]))
+    head, _ = lm.head_of(lm.count_words(training), lm.Config())
+    weights, tokens = lm.learn(training, head)
+    assert tokens == head.total
+    assert all(np.isfinite(x).all() for x in weights.values())
+
+
 def test_lm_windows_carry_state():
     rng = np.random.default_rng(1)
     counts = np.array([50.0, 30, 20, 10])
