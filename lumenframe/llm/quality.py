@@ -43,7 +43,7 @@ _sentence_end = regex.compile(r"""[.!?…。！？:;][\p{Pe}\p{Pf}"'*_`]*(?:\s|$
 _separators = [x.encode() for x in "|>»•·"]
 _doubled = regex.compile(r"\p{P}{2,}(?:\s|$)")
 _shouted = regex.compile(r"(?:^|\s)\p{P}*\p{Lu}{2,}[\p{Lu}\p{P}]*(?=\s|$)")
-_LOWER = bytes(range(97, 123))
+_CAPITAL = bytes([*range(65, 91), *range(128, 256)])  # a shouted word has two of these bytes at least
 
 
 def repeated_words(found: list[bytes]) -> int:
@@ -96,7 +96,7 @@ def line_fails(line: bytes, n_words: int, rules: Rules, symbols: bool = True, fu
     if n_words >= rules.punctuated_from:
         if (b"!!" in line or b"??" in line) and len(_doubled.findall(line.decode())) > rules.most_doubled * n_words:
             return "shouting"
-        if 3 * len(line.translate(None, _LOWER)) > 2 * len(line) and len(_shouted.findall(line.decode())) > rules.most_shouted * n_words:
+        if len(line) - len(line.translate(None, _CAPITAL)) > 2 * rules.most_shouted * n_words and len(_shouted.findall(line.decode())) > rules.most_shouted * n_words:
             return "shouting"
     if furniture and any(x in line.lower() for x in _furniture):
         return "boilerplate"
@@ -113,7 +113,7 @@ def judge(text: bytes | None, rules: Rules) -> tuple[tuple[int, int, int, int, i
     inner = b"".join(found)
     chars = len(inner) if inner.isascii() else len(inner.decode())
     symbols = symbols_in(inner)
-    stutter = doubles(found) > 2
+    stutter = doubles(found) > 0
     lower = text.lower()
     furniture = any(x in lower for x in _furniture)
     seen: set[bytes] = set()

@@ -212,6 +212,15 @@ def test_quality_counts_equal_brute_force():
         assert quality.repeated_words(w) == len(marked)
 
 
+def test_quality_checks_first_what_the_rules_imply():
+    shout = b"READ THIS NOW FOR internationally acclaimed entertainment"
+    assert quality.line_fails(shout, 7, quality.Rules()) == "shouting"
+    assert quality.line_fails("ÀÉ ÈÊ ÎÔ ÛÇ entertainment acclaimed internationally".encode(), 7, quality.Rules()) == "shouting"
+    assert quality.line_fails(b"Read This Now For internationally acclaimed entertainment.", 7, quality.Rules()) is None
+    for text in (b"well well well", b"well well well\n\nthat is is all."):
+        assert b"well" not in quality.judge(text, quality.Rules())[1]
+
+
 def test_quality_keeps_clean_and_rejects_junk(spark):
     clean = " ".join(f"Sentence number {k} says something new about topic {k * 7}." for k in range(12))
     table_ = "\n".join(" | ".join(f"cell{k}{j}" for j in range(8)) for k in range(10))
