@@ -91,8 +91,8 @@ def _member(data: bytes) -> bytes:
     return packer.compress(data) + packer.flush()
 
 
-def _line(key: str, page_id: int | None, offset: int, length: int) -> str:
-    return f"{json.dumps(key)[1:-1]}\t{'' if page_id is None else page_id}\t{offset}\t{length}"
+def _line(key: str, page_id: int | None, ordinal: int, offset: int, length: int) -> str:
+    return f"{json.dumps(key)[1:-1]}\t{'' if page_id is None else page_id}\t{ordinal}\t{offset}\t{length}"
 
 
 def _order(key: str, page_id: int | None) -> tuple:
@@ -109,11 +109,13 @@ class ArchiveWriter:
         self.uri = f"{folder}/{self.base.rsplit('/', 1)[1]}"
         self.out, self.at, self.lines = self.store.open_output_stream(f"{self.base}.warc.gz", compression=None), 0, []
 
-    def add(self, key: str, page_id: int | None, raw: bytes) -> None:
+    def add(self, key: str, page_id: int | None, raw: bytes) -> int:
+        """The record's ordinal, which tells records of one key and page_id apart."""
         data = _member(raw)
         self.out.write(data)
-        self.lines.append((key, page_id, self.at, len(data)))
+        self.lines.append((key, page_id, len(self.lines), self.at, len(data)))
         self.at += len(data)
+        return len(self.lines) - 1
 
     def close(self) -> None:
         self.out.close()
@@ -123,7 +125,7 @@ class ArchiveWriter:
                 part = self.lines[k : k + BLOCK_LINES]
                 data = _member("\n".join(_line(*x) for x in part).encode())
                 out.write(data)
-                directory.append(_line(part[0][0], part[0][1], at, len(data)))
+                directory.append(_line(*part[0][:3], at, len(data)))
                 at += len(data)
         with self.store.open_output_stream(f"{self.base}.idx", compression=None) as out:
             out.write("\n".join(directory).encode())
@@ -132,8 +134,8 @@ class ArchiveWriter:
 def _parsed(lines: list[str]) -> list[tuple]:
     out = []
     for line in lines:
-        key, ident, offset, length = line.split("\t")
-        out.append(((key, int(ident) if ident else -(1 << 63)), int(offset), int(length)))
+        key, ident, ordinal, offset, length = line.split("\t")
+        out.append(((key, int(ident) if ident else -(1 << 63), int(ordinal)), int(offset), int(length)))
     return out
 
 
@@ -149,8 +151,8 @@ class ArchiveReader:
         self.archive = self.store.open_input_file(f"{self.base}.warc.gz")
         self.block, self.keys, self.lines = -1, [], []
 
-    def find(self, key: str, page_id: int | None) -> dict | None:
-        wanted = _order(key, page_id)
+    def find(self, key: str, page_id: int | None, ordinal: int) -> dict | None:
+        wanted = (*_order(key, page_id), ordinal)
         k = bisect.bisect_right(self.first, wanted) - 1
         if k < 0:
             return None
@@ -170,14 +172,14 @@ class ArchiveReader:
 
 
 def _write(folder: str):
-    """Sorted (page_id, url, html, response_id) -> one row for each record: key, page_id, url, archive."""
+    """Sorted (page_id, url, html, response_id) -> one row for each record: page_id, url, archive, ordinal."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer, done = None, []
 
         def flush() -> pa.RecordBatch:
             writer.close()
-            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in done], pa.int64()), pa.array([x[1] for x in done], pa.string()), pa.array([writer.uri] * len(done), pa.string())], names=["page_id", "url", "archive"])
+            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in done], pa.int64()), pa.array([x[1] for x in done], pa.string()), pa.array([writer.uri] * len(done), pa.string()), pa.array([x[2] for x in done], pa.int64())], names=["page_id", "url", "archive", "ordinal"])
 
         last: tuple | None = None
         for batch in batches:
@@ -190,8 +192,8 @@ def _write(folder: str):
                     yield flush()
                     writer, done = None, []
                 writer, last = writer or ArchiveWriter(folder), now
-                writer.add(key, page_id, record(page_id, url, payload or b"", digest(payload or b""), ref))
-                done.append((page_id, url))
+                ordinal = writer.add(key, page_id, record(page_id, url, payload or b"", digest(payload or b""), ref))
+                done.append((page_id, url, ordinal))
         if writer:
             yield flush()
 
@@ -199,18 +201,18 @@ def _write(folder: str):
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(page_id, url, archive) -> the records as read back, payloads checked against their digests."""
+    """(page_id, url, archive, ordinal) -> the records as read back, payloads checked against their digests."""
     names = ["page_id", "url", "record_type", "payload_digest", "payload_bytes", "refers_to"]
     kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()]
     reader, uri = None, None
     for batch in batches:
         out = []
-        for page_id, url, archive in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+        for page_id, url, archive, ordinal in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
             if archive != uri:
                 if reader:
                     reader.close()
                 reader, uri = ArchiveReader(archive), archive
-            found = reader.find(reversed_key(url), page_id)
+            found = reader.find(reversed_key(url), page_id, ordinal)
             if found is None:
                 raise ValueError(f"no capture of page {page_id} in {archive}")
             if found["record_type"] == "response" and (digest(found["payload"]) != found["payload_digest"] or len(found["payload"]) != found["payload_bytes"]):
@@ -222,7 +224,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0) -> DataFrame:
-    """Write a record for each row of pages (page_id, url, html); returns page_id, url, archive for each, as a written table.
+    """Write a record for each row of pages (page_id, url, html); returns page_id, url, archive, ordinal for each, as a written table.
 
     Of records with equal payloads of at least least_bytes bytes the one with the
     largest page_id is the response and others revisit it; the rest are responses.
@@ -239,11 +241,11 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0) -> DataF
     rows = rows.join(again, "sha", "left").withColumn("ref", F.when(~F.col("page_id").eqNullSafe(F.col("response")), F.col("response")))
     key = reversed_key_column(F.col("url"))
     dealt = rows.select("page_id", "url", "html", "ref", key.alias("_host")).repartitionByRange("_host", "url", "page_id").sortWithinPartitions("_host", "url", "page_id")
-    return cut(dealt.select("page_id", "url", "html", "ref").mapInArrow(_write(folder), "page_id long, url string, archive string"), "captures")
+    return cut(dealt.select("page_id", "url", "html", "ref").mapInArrow(_write(folder), "page_id long, url string, archive string, ordinal long"), "captures")
 
 
 def read_archives(captures: DataFrame) -> DataFrame:
-    """The records of captures (page_id, url, archive), found through each archive's index."""
+    """The records of captures (page_id, url, archive, ordinal), found through each archive's index."""
     return captures.mapInArrow(_read, "page_id long, url string, record_type string, payload_digest string, payload_bytes long, refers_to long")
 
 

@@ -124,6 +124,12 @@ def test_warc_round_trip(spark, sf_dir):
     assert few > 0
 
 
+def test_warc_finds_each_record_of_one_key(spark):
+    rows = [(k, "http://a.b/c", html_) for k in (1, None) for html_ in ("x", "longer", "x")]
+    got = warc.archive_round_trip(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)).collect()
+    assert Counter((r.page_id, r.payload_bytes) for r in got) == Counter((k, len(h)) for k, _, h in rows)
+
+
 def test_warc_least_bytes(spark):
     df = spark.createDataFrame([(1, "u", "ab"), (2, "u", "ab")], "page_id long, url string, html string")
     captures = warc.write_archives(df, warc.shared_dir(spark) + "/least", least_bytes=3)
