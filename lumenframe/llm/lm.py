@@ -7,10 +7,14 @@ classes by rank, in which they have their share of the counts; the last class
 holds all rarer words and those that training has not seen. The output starts as
 the words' frequencies, so training can only add what the context tells.
 
+Texts are read twice: once to count, once to write each document as ranks in the
+shared folder. Training and scoring read that table.
+
 Training: truncated backpropagation over windows, with the state carried from one
-window to the next. Every training document is learnt from once, in a round found by
-hashing. A round's documents are dealt to trainers that work alone; their weights are
-averaged after it. No text goes to the driver.
+window to the next. Every training document is learnt from in each pass, in a round
+found by hashing; a corpus of few words has more passes. A round's documents are dealt
+to trainers that work alone; their weights are averaged after it. No text goes to the
+driver.
 
 Scoring: whole documents, side by side by length; the state is carried through
 all windows of a document, so its likelihood is complete.
@@ -18,7 +22,9 @@ all windows of a document, so its likelihood is complete.
 
 from __future__ import annotations
 
+import itertools
 import math
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -30,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import byte_rows, cut, words
+from lumenframe.llm.common import byte_rows, cut, small, words
 
 END = b"\n"  # no word holds it
 F32 = np.float32
@@ -38,19 +44,33 @@ F32 = np.float32
 
 @dataclass(frozen=True)
 class Config:
-    hidden: int = 16
-    embedding: int = 16
-    network_words: int = 2048
-    class_words: int = 64
+    hidden: int = 24
+    embedding: int = 24
+    network_words: int = 8192
+    class_words: int = 96
     head_words: int = 200_000  # words that every task knows, with their counts
     window: int = 32
-    streams: int = 96  # texts side by side in training
-    rounds: int = 8  # each training document is learnt from in one of them
-    trainer_tokens: int = 500_000
-    most_trainers: int = 512  # beyond, each trainer reads more
-    rate: float = 0.01
+    streams: int = 192  # texts side by side in training, at most
+    steps: int = 300  # a trainer's aim in a round; with fewer words it has fewer texts side by side
+    rounds: int = 4  # a pass learns from each training document in one of them
+    pass_words: int = 2_000_000  # a smaller corpus has as many passes as reach this, up to most_passes
+    most_passes: int = 4
+    trainer_words: int = 1_000_000  # for each trainer and round
+    most_trainers: int = 4096  # beyond, each trainer reads more
+    rate: float = 0.02
     seed: int = 7
 
+    def passes(self, total: int) -> int:
+        return max(1, min(self.most_passes, math.ceil(self.pass_words / max(total, 1))))
+
+    def trainers(self, total: int) -> int:
+        return int(min(self.most_trainers, max(1, total // (max(self.rounds, 1) * self.trainer_words))))
+
+    def side_by_side(self, total: int) -> int:
+        """Streams of a trainer: few for few words, as more steps then help more than larger ones."""
+        each = total / (max(self.rounds, 1) * self.trainers(total))
+        return int(min(self.streams, max(16, each // (self.window * self.steps))))
+
 
 @dataclass
 class Head:
@@ -141,16 +161,17 @@ def step(x: np.ndarray, h: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, ...]:
 class Trainer:
     """Truncated backpropagation with Adam, over streams of documents side by side."""
 
-    def __init__(self, head: Head, weights: dict[str, np.ndarray]):
+    def __init__(self, head: Head, weights: dict[str, np.ndarray], streams: int | None = None):
         self.head, self.c = head, head.config
+        self.streams = streams or self.c.streams
         self.w = {k: v.copy() for k, v in weights.items()}
         self.m = {k: np.zeros_like(v) for k, v in weights.items()}
         self.v = {k: np.zeros_like(v) for k, v in weights.items()}
         self.t = self.tokens = 0
-        self.state = np.zeros((self.c.streams, self.c.hidden), F32)
-        self.last = np.full(self.c.streams, head.first)
-        self.queues: list[list[np.ndarray]] = [[] for _ in range(self.c.streams)]
-        self.waiting = [0] * self.c.streams
+        self.state = np.zeros((self.streams, self.c.hidden), F32)
+        self.last = np.full(self.streams, head.first)
+        self.queues: list[list[np.ndarray]] = [[] for _ in range(self.streams)]
+        self.waiting = [0] * self.streams
 
     def add(self, ranks: np.ndarray) -> None:
         k = self.waiting.index(min(self.waiting))
@@ -162,14 +183,14 @@ class Trainer:
     def finish(self) -> None:
         """All that is left. A stream without words takes over the second half of the longest queue, so a long text is learnt from to its end."""
         while any(self.waiting):
-            for k in range(self.c.streams):
+            for k in range(self.streams):
                 if not self.waiting[k]:
                     self.take_over(k)
             self.train(min(self.c.window, max(self.waiting)))
 
     def take_over(self, k: int) -> None:
         """Half of the longest queue for stream k, if that has more than a window. Its context is the word before; the state is not known there."""
-        j = max(range(self.c.streams), key=self.waiting.__getitem__)
+        j = max(range(self.streams), key=self.waiting.__getitem__)
         if self.waiting[j] <= self.c.window:
             return
         left = np.concatenate(self.queues[j])
@@ -180,7 +201,7 @@ class Trainer:
 
     def train(self, n: int) -> None:
         """One window of n words of each stream; streams that have fewer are masked."""
-        ranks = np.full((self.c.streams, n), -2)
+        ranks = np.full((self.streams, n), -2)
         for k, queue in enumerate(self.queues):
             got = 0
             while got < n and queue:
@@ -272,7 +293,7 @@ LOG10 = math.log(10)
 class Scorer:
     """log10 probabilities of documents given as ranks, without what rare words have within their class."""
 
-    def __init__(self, head: Head, weights: dict[str, np.ndarray], side_by_side: int = 1024, window: int = 64):
+    def __init__(self, head: Head, weights: dict[str, np.ndarray], side_by_side: int = 512, window: int = 64):
         self.head, self.w, self.width, self.n = head, weights, side_by_side, window
         self.x = weights["emb"] @ weights["wx"] + weights["b"]
         # rare words have one count more each, and so has the unseen word, as in the base
@@ -390,97 +411,140 @@ def _shaped(flat: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarr
 
 
 def _average(rows: pd.DataFrame) -> pd.DataFrame:
+    """One row of weights, averaged by the words that each was learnt from; times `tokens` of them all."""
     share = rows["tokens"].to_numpy(float)
     values = sum(np.frombuffer(v, F32).astype(np.float64) * s for v, s in zip(rows["part"], share / share.sum(), strict=True))
-    return pd.DataFrame({"chunk": [rows["chunk"].iloc[0]], "tokens": [rows["tokens"].sum()], "part": [values.astype(F32).tobytes()]})
+    return pd.DataFrame({"chunk": [rows["chunk"].iloc[0]], "some": [0], "tokens": [rows["tokens"].sum()], "part": [values.astype(F32).tobytes()]})
+
 
+WEIGHTS = "chunk long, some long, tokens long, part binary"
+#: Trainers whose weights meet in one task; their averages meet next.
+MET = 64
 
-def learn(docs: DataFrame, head: Head) -> tuple[dict[str, np.ndarray], int]:
-    """Weights from (doc_id, text) of training documents, and the number of words learnt from."""
+
+def learn(coded: DataFrame, head: Head) -> tuple[dict[str, np.ndarray], int]:
+    """Weights from the training documents (row, ranks), and the number of words learnt from in all passes.
+
+    A trainer's documents come in the order of a hash of their row, so a run that is repeated learns the same.
+    """
     c, weights, tokens = head.config, initial(head), 0
     if not head.network:
         return weights, tokens
-    spark = docs.sparkSession
-    trainers = int(min(c.most_trainers, max(1, head.total // (c.rounds * c.trainer_tokens))))
+    spark = coded.sparkSession
+    trainers, streams = c.trainers(head.total), c.side_by_side(head.total)
     shared_head = spark.sparkContext.broadcast(head)
-    for round_ in range(c.rounds):
-        mine = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(c.rounds)) == round_)
+    for pass_, round_ in itertools.product(range(c.passes(head.total)), range(c.rounds)):
+        mine = coded.withColumn("_hash", F.xxhash64("row", F.lit(pass_))).where(F.pmod("_hash", F.lit(c.rounds)) == round_)
         shared = spark.sparkContext.broadcast(weights)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            trainer = Trainer(shared_head.value, shared.value)
+            from pyspark import TaskContext
+
+            trainer = Trainer(shared_head.value, shared.value, streams)
             for batch in batches:
-                for text in byte_rows(batch.column(0)):
-                    trainer.add(trainer.head.coded([*words(text), END]))
+                for ranks in batch.column(0).to_pylist():
+                    trainer.add(np.frombuffer(ranks, "<i4").astype(np.int64))
             trainer.finish()
             if trainer.tokens:
                 flat = _flat(trainer.w)
                 parts = [flat[k : k + _CHUNK].tobytes() for k in range(0, len(flat), _CHUNK)]
-                yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int64()), pa.array([trainer.tokens] * len(parts), pa.int64()), pa.array(parts, pa.binary())], names=["chunk", "tokens", "part"])
-
-        learnt = mine.repartition(trainers, F.xxhash64("doc_id", F.lit(2))).select("text").mapInArrow(run, "chunk long, tokens long, part binary")
-        averaged = sorted(learnt.groupBy("chunk").applyInPandas(_average, "chunk long, tokens long, part binary").collect())
+                some = TaskContext.get().partitionId() // MET
+                columns = [pa.array(range(len(parts)), pa.int64()), pa.array([some] * len(parts), pa.int64()), pa.array([trainer.tokens] * len(parts), pa.int64()), pa.array(parts, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["chunk", "some", "tokens", "part"])
+
+        dealt = mine.repartition(trainers, "_hash").sortWithinPartitions("_hash", "row")
+        learnt = dealt.select("ranks").mapInArrow(run, WEIGHTS)
+        if trainers > MET:
+            learnt = learnt.groupBy("chunk", "some").applyInPandas(_average, WEIGHTS)
+        averaged = sorted(learnt.groupBy("chunk").applyInPandas(_average, WEIGHTS).collect())
         if averaged:
             weights = _shaped(np.concatenate([np.frombuffer(r["part"], F32) for r in averaged]), weights)
             tokens += averaged[0]["tokens"]
+        shared.unpersist()
     return weights, tokens
 
 
-_scorers: dict[int, Scorer] = {}
-PART = "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, rare array<binary>, times array<long>"
+CODED = "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, ranks binary, rare array<binary>, times array<long>"
+SCORED = "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double"
+#: Words that are scored at once: whole documents up to so many, or one longer document.
+AT_ONCE = 1 << 20
+
+
+def code(rows: DataFrame, head) -> DataFrame:
+    """Each row of (doc_id, held_out, text) as the ranks of its words, and the words that have none; head: a broadcast Head."""
+    names = [x.split()[0] for x in CODED.split(", ")]
+    kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int64())]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        at = TaskContext.get().partitionId() << 33
+        for batch in small(batches):
+            out = []
+            for doc, held, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), byte_rows(batch.column(2)), strict=True):
+                found = [*words(text), END]
+                ranks = head.value.coded(found)
+                there = ranks[ranks >= 0]
+                rare = Counter(map(found.__getitem__, np.flatnonzero(ranks < 0).tolist()))
+                out.append((at, doc, held, len(found), len(there), float(head.value.base[there].sum()), ranks.astype("<i4").tobytes(), list(rare), list(rare.values())))
+                at += 1
+            columns = list(zip(*out, strict=True)) or [()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+
+    return rows.mapInArrow(run, CODED)
+
+
+def score_rows(coded: DataFrame, shared) -> DataFrame:
+    """CODED rows with their score: log10 probabilities but for what rare words have within their class. shared: a broadcast (Head, weights)."""
+    ident = uuid.uuid4().hex
+    kept = [x.split()[0] for x in SCORED.split(", ")][:-1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if ident not in _scorers:
+            _scorers.clear()
+            _scorers[ident] = Scorer(*shared.value)
+        scorer = _scorers[ident]
+
+        def scored(batch: pa.RecordBatch) -> pa.RecordBatch:
+            docs = [np.frombuffer(ranks.as_buffer(), "<i4") for ranks in batch.column(len(kept))]
+            values = scorer.score(docs) if scorer.head.network else np.zeros(len(docs))
+            return pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(values, pa.float64())], names=[*kept, "score"])
+
+        for batch in batches:
+            ends = np.cumsum(batch.column(kept.index("n_tokens")).to_numpy())
+            low = 0
+            while low < batch.num_rows:
+                before = ends[low - 1] if low else 0
+                high = max(low + 1, int(np.searchsorted(ends, before + AT_ONCE, side="right")))
+                yield scored(batch.slice(low, high - low))
+                low = high
+
+    return coded.select(*kept, "ranks").mapInArrow(run, SCORED)
+
+
+_scorers: dict[str, Scorer] = {}
 
 
 def score_documents(docs: DataFrame, config: Config | None = None) -> DataFrame:
     """One row for each row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     A null or blank text is its end mark alone. A null doc_id stays null and is
-    trained on. Repeated rows are scored each. Without training words each word
-    has probability 1 in the base and in the model. As in the base, all unseen words
-    are one word that was counted once more than never. Other columns are not read.
+    trained on. Repeated rows are scored, and learnt from, each. Texts of any length
+    are learnt from and scored to their end. An empty table gives no rows. Without
+    training words each word has probability 1 in the base and in the model. As in
+    the base, all unseen words are one word that was counted once more than never.
+    Other columns are not read.
     """
     config = config or Config()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.withColumn("held_out", held_out(F.col("doc_id")))
-    training = rows.where(~F.col("held_out")).select("doc_id", "text")
-    counts = cut(count_words(training), "words")
+    counts = cut(count_words(rows.where(~F.col("held_out"))), "words")
     head, least = head_of(counts, config)
-    weights, _ = learn(training, head)
-    shared = docs.sparkSession.sparkContext.broadcast((head, weights))
-    ident = id(shared)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        head = shared.value[0]
-        scorer = _scorers.get(ident)
-        if scorer is None or scorer.head is not head:
-            _scorers.clear()
-            scorer = _scorers[ident] = Scorer(*shared.value)
-        at = TaskContext.get().partitionId() << 33
-        for batch in batches:
-            for low in range(0, batch.num_rows, 4096):
-                part = batch.slice(low, 4096)
-                coded, known, base, rare, times = [], [], [], [], []
-                for text in byte_rows(part.column(2)):
-                    found = [*words(text), END]
-                    ranks = head.coded(found)
-                    coded.append(ranks)
-                    there = ranks[ranks >= 0]
-                    known.append(len(there))
-                    base.append(float(head.base[there].sum()))
-                    out = Counter(map(found.__getitem__, np.flatnonzero(ranks < 0).tolist()))
-                    rare.append(list(out))
-                    times.append(list(out.values()))
-                n = len(coded)
-                scores = scorer.score(coded) if head.network else np.zeros(n)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(range(at, at + n), pa.int64()), part.column(0), part.column(1), pa.array(list(map(len, coded)), pa.int64()), pa.array(known, pa.int64()), pa.array(base), pa.array(scores), pa.array(rare, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int64()))],
-                    names=[x.split()[0] for x in PART.split(", ")],
-                )
-                at += n
-
-    parts = cut(rows.select("doc_id", "held_out", "text").mapInArrow(run, PART), "scores")
-    each = parts.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
+    context = docs.sparkSession.sparkContext
+    coded = cut(code(rows.select("doc_id", "held_out", "text"), context.broadcast(head)), "coded")
+    weights, _ = learn(coded.where(~F.col("held_out")).select("row", "ranks"), head)
+    scores = cut(score_rows(coded, context.broadcast((head, weights))), "scores")
+    each = coded.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
     c = F.coalesce("c", F.lit(0))
     in_class = F.log10(c + 1) - math.log10(head.rare_total + head.rare_distinct + 1)
     sums = each.join(counts.where(F.col("c") < least), "word", "left").groupBy("row").agg(
@@ -489,7 +553,7 @@ def score_documents(docs: DataFrame, config: Config | None = None) -> DataFrame:
         F.sum(F.col("times") * in_class).alias("score_rare"),
     )
     zero = F.lit(0.0)
-    return parts.drop("rare", "times").join(sums, "row", "left").select(
+    return scores.join(sums, "row", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",

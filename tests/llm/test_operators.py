@@ -10,6 +10,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lumenframe.llm import chat, html, jaccard, lm, packing, quality, tiling, tokens, urls, warc
 from lumenframe.llm.common import components, shingle_set, table
@@ -384,21 +385,81 @@ def test_html_marked_article(spark):
     assert html.extract(df.limit(0)).count() == 0
 
 
-def test_lm_base_counts_and_gain(spark):
-    df = table(spark, "/root/testdata/sf0.01", "documents").where("doc_id < 400")
-    got = {r.doc_id: r for r in lm.score_documents(df).collect()}
-    texts = {r.doc_id: [*r.text.encode().lower().split(), b"\n"] for r in df.collect()}
+def lm_words(df):
+    """Words of each document, and counts and their sum over the training documents, by brute force."""
+    texts = {r.doc_id: [*(r.text or "").encode().lower().split(), b"\n"] for r in df.collect()}
     c = Counter()
     for k, w in texts.items():
         if zlib.crc32(str(k).encode()) % 7 != 2:
             c.update(w)
-    total, distinct = sum(c.values()), len(c)
+    return texts, c, sum(c.values())
+
+
+def test_lm_base_counts_and_gain(spark):
+    """Held-out documents: training has to gain 0.2 for each token over the same network untrained and over the smoothed counts."""
+    df = table(spark, "/root/testdata/sf0.01", "documents")
+    got = {r.doc_id: r for r in lm.score_documents(df).collect()}
+    texts, c, total = lm_words(df)
     for k, w in texts.items():
         r = got[k]
         assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (len(w), sum(x in c for x in w), total, zlib.crc32(str(k).encode()) % 7 == 2)
-        assert r.base_score == pytest.approx(sum(np.log10((c[x] + 1) / (total + distinct + 1)) for x in w))
+        assert r.base_score == pytest.approx(sum(np.log10((c[x] + 1) / (total + len(c) + 1)) for x in w))
+    untrained = {r.doc_id: r.score for r in lm.score_documents(df, lm.Config(rounds=0)).collect()}
     held = [r for r in got.values() if r.held_out]
-    assert sum(r.score for r in held) > sum(r.base_score for r in held)
+    n = sum(r.n_tokens for r in held)
+    assert sum(r.score - r.base_score for r in held) > 0.2 * n
+    assert sum(r.score - untrained[r.doc_id] for r in held) > 0.2 * n
+
+
+def test_lm_score_equals_brute_force(spark, sf_dir, monkeypatch):
+    """The whole query's scores against one word after the other in plain formulas, with the weights that it learnt."""
+    seen = {}
+
+    def learn(coded, head):
+        seen["head"], (seen["w"], tokens) = head, learnt(coded, head)
+        return seen["w"], tokens
+
+    learnt = lm.learn
+    monkeypatch.setattr(lm, "learn", learn)
+    config = lm.Config(hidden=5, embedding=4, network_words=300, class_words=32, head_words=900)
+    df = table(spark, sf_dir, "documents").where("n_chars < 1500")
+    got = {r.doc_id: r.score for r in lm.score_documents(df, config).collect()}
+    texts, c, total = lm_words(df)
+    head, w = seen["head"], {k: v.astype(float) for k, v in seen["w"].items()}
+    known = sorted(c, key=lambda x: (-c[x], x))
+    least = min(c[x] for x in head.ranks)
+    ranks = {x: k for k, x in enumerate(known) if c[x] >= least}
+    assert ranks == head.ranks and least > 1
+    in_class = {}
+    for x in known:
+        in_class.setdefault(head.classes[ranks[x]] if x in ranks else head.n_classes - 1, []).append(x)
+    rare = in_class[head.n_classes - 1]
+    soft = lambda x: np.exp(x - x.max()) / np.exp(x - x.max()).sum()
+    bias = w["bc"].copy()
+    bias[-1] += np.log((sum(c[x] + 1 for x in rare) + 1) / sum(c[x] for x in rare))
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    n = config.hidden
+    for k in list(texts)[:25]:
+        h, last, score = np.zeros(n), b"\n", 0.0
+        for x in texts[k]:
+            at = ranks.get(last, -1)
+            inp = at if 0 <= at < 300 else 300 + (head.classes[at] if at >= 0 else head.n_classes - 1) - head.network_classes
+            e = w["emb"][inp] @ w["wx"] + w["b"]
+            u = h @ w["u"]
+            z, r = sigmoid(e[:n] + u[:n]), sigmoid(e[n : 2 * n] + u[n : 2 * n])
+            h = z * h + (1 - z) * np.tanh(e[2 * n :] + r * u[2 * n :])
+            rank = ranks.get(x, -1)
+            cls = head.classes[rank] if rank >= 0 else head.n_classes - 1
+            p = soft(h @ w["wc"] + bias)[cls]
+            if rank < 0:
+                p *= (c[x] + 1) / (sum(c[y] + 1 for y in rare) + 1)
+            elif rank < 300:
+                p *= soft(h @ w["ww"][cls] + w["bw"][cls])[rank % 32]
+            else:
+                p *= c[x] / sum(c[y] for y in in_class[cls])
+            score += np.log10(p)
+            last = x
+        assert got[k] == pytest.approx(score, rel=1e-3)
 
 
 def test_lm_gradient():
@@ -462,15 +523,33 @@ def test_lm_learns_from_every_word(lengths):
     assert seen == want
 
 
-def test_lm_learns_from_every_training_document(spark, sf_dir):
+@pytest.mark.parametrize("passes", [1, 3])
+def test_lm_learns_from_every_training_document(spark, sf_dir, passes):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").union(docs_of(spark, ["a b a", None, "c"], [None, 1, 1]).select("doc_id", "text"))
-    training = docs.where(~lm.held_out(docs["doc_id"]))
-    head, _ = lm.head_of(lm.count_words(training), lm.Config())
-    weights, tokens = lm.learn(training, head)
-    assert tokens == head.total
+    training = docs.withColumn("held_out", lm.held_out(docs["doc_id"])).where("not held_out")
+    config = lm.Config(most_passes=passes, trainer_words=2000)
+    head, _ = lm.head_of(lm.count_words(training), config)
+    assert config.trainers(head.total) > 1 and config.passes(head.total) == passes
+    coded = lm.code(training.select("doc_id", "held_out", "text"), spark.sparkContext.broadcast(head))
+    weights, tokens = lm.learn(coded, head)
+    assert tokens == passes * head.total
     assert all(np.isfinite(x).all() for x in weights.values())
 
 
+def test_lm_averages_many_trainers(spark, sf_dir, monkeypatch):
+    """Trainers meet in groups first; the average is the same."""
+    training = table(spark, sf_dir, "documents").withColumn("held_out", F.lit(False)).select("doc_id", "held_out", "text")
+    config = lm.Config(hidden=4, embedding=4, network_words=256, rounds=1, most_passes=1, trainer_words=4000)
+    head, _ = lm.head_of(lm.count_words(training), config)
+    coded = lm.code(training, spark.sparkContext.broadcast(head))
+    once = lm.learn(coded, head)
+    monkeypatch.setattr(lm, "MET", 3)
+    grouped = lm.learn(coded, head)
+    assert config.trainers(head.total) > 3 and once[1] == grouped[1] == head.total
+    for k in lm.SHAPES:
+        assert np.allclose(once[0][k], grouped[0][k], atol=1e-5)
+
+
 def test_lm_windows_carry_state():
     rng = np.random.default_rng(1)
     counts = np.array([50.0, 30, 20, 10])
