@@ -39,15 +39,15 @@ from pyspark.sql import functions as F
 from lumenframe.llm.common import byte_rows, cut, small, words
 
 END = b"\n"  # no word holds it
-F32 = np.float32
+F32, F16 = np.float32, np.float16
 
 
 @dataclass(frozen=True)
 class Config:
-    hidden: int = 24
-    embedding: int = 24
-    network_words: int = 8192
-    class_words: int = 96
+    hidden: int = 16
+    embedding: int = 16
+    network_words: int = 4096
+    class_words: int = 64
     head_words: int = 200_000  # words that every task knows, with their counts
     window: int = 32
     streams: int = 192  # texts side by side in training, at most
@@ -140,12 +140,25 @@ def initial(head: Head) -> dict[str, np.ndarray]:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return F32(1) / (F32(1) + np.exp(-x))
+    """In place."""
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += F32(1)
+    return np.reciprocal(x, out=x)
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=-1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=-1, keepdims=True))
+def _exp(logits: np.ndarray, weights: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray | float]:
+    """In place the exponentials of rows of logits, their sums, and what was taken off each row.
+
+    States lie between -1 and 1, so weights and bias bound the logits. While they
+    are far from what float32 can hold nothing is taken off, else each row's maximum.
+    """
+    off: np.ndarray | float = 0.0
+    if len(logits) and float((np.abs(weights).sum(-2) + np.abs(bias)).max()) > 60:
+        off = logits.max(axis=1)
+        logits -= off[:, None]
+    np.exp(logits, out=logits)
+    return logits, logits @ np.ones(logits.shape[1], F32), off
 
 
 def step(x: np.ndarray, h: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -154,8 +167,31 @@ def step(x: np.ndarray, h: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, ...]:
     hu = h @ u
     gates = _sigmoid(x[:, : 2 * n] + hu[:, : 2 * n])
     z, r = gates[:, :n], gates[:, n:]
-    new = np.tanh(x[:, 2 * n :] + r * hu[:, 2 * n :])
-    return new + z * (h - new), z, r, new, hu
+    new = r * hu[:, 2 * n :]
+    new += x[:, 2 * n :]
+    np.tanh(new, out=new)
+    out = h - new
+    out *= z
+    out += new
+    return out, z, r, new, hu
+
+
+class Within:
+    """Rows in the order of their classes, so that each network class is one slice; and the logits of the class's words."""
+
+    def __init__(self, states: np.ndarray, cls: np.ndarray, goal: np.ndarray, weights: dict[str, np.ndarray], classes: int):
+        self.order = np.argsort(cls, kind="stable")
+        bounds = np.searchsorted(cls[self.order], np.arange(classes + 1))
+        self.slices = [(k, slice(bounds[k], bounds[k + 1])) for k in range(classes) if bounds[k] < bounds[k + 1]]
+        self.rows = self.order[: bounds[-1]]  # those of network classes
+        words = weights["bw"].shape[1]
+        self.place = goal[self.rows] - cls[self.rows] * words
+        self.states = states[self.rows]
+        self.logits = np.empty((len(self.rows), words), F32)
+        for k, part in self.slices:
+            np.matmul(self.states[part], weights["ww"][k], out=self.logits[part])
+            self.logits[part] += weights["bw"][k]
+        self.at = np.arange(len(self.rows))
 
 
 class Trainer:
@@ -219,14 +255,15 @@ class Trainer:
     def window(self, before: np.ndarray, target: np.ndarray) -> None:
         w, head, (n, b), hid = self.w, self.head, before.shape, self.c.hidden
         live = target != -2
-        fresh = before == head.first  # a document begins: no state
+        keeps = (before != head.first).astype(F32)[:, :, None]  # 0 where a document begins: no state
         ins = head.inputs_of(np.maximum(before, -1))
         emb = w["emb"][ins]
-        x = emb @ w["wx"] + w["b"]
+        x = emb @ w["wx"]
+        x += w["b"]
         h = self.state
         steps, outs = [], np.empty((n, b, hid), F32)
         for t in range(n):
-            h = np.where(fresh[t][:, None], F32(0), h)
+            h = h * keeps[t]
             new_h, z, r, new, hu = step(x[t], h, w["u"])
             steps.append((h, z, r, new, hu))
             h = outs[t] = new_h
@@ -238,53 +275,75 @@ class Trainer:
         self.tokens += count
         cls = head.classes_of(goal)
         grads = {}
-        p = np.exp(_log_softmax(flat @ w["wc"] + w["bc"]))
-        p[np.arange(count), cls] -= 1
-        p /= count
+        p = flat @ w["wc"]
+        p += w["bc"]
+        p, total, _ = _exp(p, w["wc"], w["bc"])
+        p *= (1 / (total * count))[:, None]
+        p[np.arange(count), cls] -= F32(1 / count)
         grads["wc"], grads["bc"] = flat.T @ p, p.sum(0)
         dflat = p @ w["wc"].T
         grads["ww"], grads["bw"] = np.zeros_like(w["ww"]), np.zeros_like(w["bw"])
-        order = np.argsort(cls, kind="stable")
-        bounds = np.searchsorted(cls[order], np.arange(head.network_classes + 1))
-        for k in range(head.network_classes):
-            rows = order[bounds[k] : bounds[k + 1]]
-            if len(rows):
-                q = np.exp(_log_softmax(flat[rows] @ w["ww"][k] + w["bw"][k]))
-                q[np.arange(len(rows)), goal[rows] - k * self.c.class_words] -= 1
-                q /= count
-                grads["ww"][k], grads["bw"][k] = flat[rows].T @ q, q.sum(0)
-                dflat[rows] += q @ w["ww"][k].T
+        inside = Within(flat, cls, goal, w, head.network_classes)
+        q, total, _ = _exp(inside.logits, w["ww"], w["bw"])
+        q *= (1 / (total * count))[:, None]
+        q[inside.at, inside.place] -= F32(1 / count)
+        back = np.empty_like(inside.states)
+        for k, part in inside.slices:
+            np.matmul(inside.states[part].T, q[part], out=grads["ww"][k])
+            grads["bw"][k] = q[part].sum(0)
+            np.matmul(q[part], w["ww"][k].T, out=back[part])
+        dflat[inside.rows] += back
         douts = np.zeros((n, b, hid), F32)
         douts[live] = dflat
         dx = np.empty_like(x)
         du = np.zeros_like(w["u"])
         dh = np.zeros((b, hid), F32)
+        dhu = np.empty((b, 3 * hid), F32)
         for t in range(n - 1, -1, -1):
             h, z, r, new, hu = steps[t]
-            dh = dh + douts[t]
-            dnew = dh * (1 - z) * (1 - new * new)
-            dz = dh * (h - new) * z * (1 - z)
-            dr = dnew * hu[:, 2 * hid :] * r * (1 - r)
-            dhu = np.concatenate([dz, dr, dnew * r], 1)
-            dx[t] = np.concatenate([dz, dr, dnew], 1)
+            dh += douts[t]
+            dz = h - new
+            dz *= dh * z
+            dz *= 1 - z
+            dnew = dh - dh * z
+            dnew *= 1 - new * new
+            dr = dnew * r
+            dhu[:, 2 * hid :] = dr
+            dr *= hu[:, 2 * hid :]
+            dr *= 1 - r
+            dhu[:, :hid], dhu[:, hid : 2 * hid] = dz, dr
+            dx[t, :, : 2 * hid], dx[t, :, 2 * hid :] = dhu[:, : 2 * hid], dnew
             du += h.T @ dhu
-            dh = np.where(fresh[t][:, None], F32(0), dh * z + dhu @ w["u"].T)
+            dh *= z
+            dh += dhu @ w["u"].T
+            dh *= keeps[t]
         flat_dx = dx.reshape(-1, 3 * hid)
         grads["u"], grads["b"], grads["wx"] = du, flat_dx.sum(0), emb.reshape(-1, emb.shape[-1]).T @ flat_dx
         grads["emb"] = np.zeros_like(w["emb"])
-        np.add.at(grads["emb"], ins.ravel(), flat_dx @ w["wx"].T)
+        order = np.argsort(ins, axis=None, kind="stable")
+        inputs, starts = np.unique(ins.ravel()[order], return_index=True)
+        grads["emb"][inputs] = np.add.reduceat((flat_dx @ w["wx"].T)[order], starts)
         self.adam(grads)
 
     def adam(self, grads: dict[str, np.ndarray]) -> None:
-        norm = math.sqrt(sum(float((g * g).sum()) for g in grads.values()))
+        norm = math.sqrt(sum(float(np.dot(g.ravel(), g.ravel())) for g in grads.values()))
         scale = F32(min(1.0, 1.0 / max(norm, 1e-12)))
         self.t += 1
         rate = self.c.rate * min(1.0, self.t / 10) * math.sqrt(1 - 0.99**self.t) / (1 - 0.9**self.t)
         for k, g in grads.items():
-            g = g.astype(F32) * scale
-            self.m[k] = F32(0.9) * self.m[k] + F32(0.1) * g
-            self.v[k] = F32(0.99) * self.v[k] + F32(0.01) * g * g
-            self.w[k] -= F32(rate) * self.m[k] / (np.sqrt(self.v[k]) + F32(1e-8))
+            m, v = self.m[k], self.v[k]
+            g *= scale
+            m *= F32(0.9)
+            m += F32(0.1) * g
+            g *= g
+            g *= F32(0.01)
+            v *= F32(0.99)
+            v += g
+            np.sqrt(v, out=g)
+            g += F32(1e-8)
+            np.divide(m, g, out=g)
+            g *= F32(rate)
+            self.w[k] -= g
 
 
 LOG10 = math.log(10)
@@ -300,24 +359,24 @@ class Scorer:
         self.bc = weights["bc"].copy()
         self.bc[-1] += math.log((head.rare_total + head.rare_distinct + 1) / max(head.rare_total, 1))
 
-    def window(self, states: np.ndarray, goal: np.ndarray) -> np.ndarray:
+    def window(self, states: np.ndarray, goal: np.ndarray, most: int = 8192) -> np.ndarray:
+        """log10 probability of each goal, `most` at a time, which stay in the processor's cache."""
+        return np.concatenate([self._some(states[k : k + most], goal[k : k + most]) for k in range(0, len(goal), most)])
+
+    def _some(self, states: np.ndarray, goal: np.ndarray) -> np.ndarray:
         w, head = self.w, self.head
         cls = head.classes_of(goal)
-        out = _log_softmax(states @ w["wc"] + self.bc)[np.arange(len(goal)), cls].astype(np.float64) / LOG10
-        if len(head.fixed):
-            out += np.where(goal >= 0, head.fixed[goal], 0.0)
-        order = np.argsort(cls, kind="stable")
-        bounds = np.searchsorted(cls[order], np.arange(head.network_classes + 1))
-        for k in range(head.network_classes):
-            rows = order[bounds[k] : bounds[k + 1]]
-            if len(rows):
-                q = states[rows] @ w["ww"][k] + w["bw"][k]
-                top = q.max(axis=1)
-                q -= top[:, None]
-                picked = q[np.arange(len(rows)), goal[rows] - k * head.config.class_words]
-                np.exp(q, out=q)
-                out[rows] += (picked - np.log(q.sum(axis=1))) / LOG10
-        return out
+        logits = states @ w["wc"]
+        logits += self.bc
+        out = logits[np.arange(len(goal)), cls].astype(np.float64)
+        _, total, off = _exp(logits, w["wc"], self.bc)
+        out -= np.log(total) + off
+        inside = Within(states, cls, goal, w, head.network_classes)
+        picked = inside.logits[inside.at, inside.place]
+        _, total, off = _exp(inside.logits, w["ww"], w["bw"])
+        out[inside.rows] += picked - np.log(total) - off
+        out /= LOG10
+        return out + np.where(goal >= 0, head.fixed[goal], 0.0) if len(head.fixed) else out
 
     def score(self, docs: list[np.ndarray]) -> np.ndarray:
         out = np.zeros(len(docs))
@@ -411,10 +470,10 @@ def _shaped(flat: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarr
 
 
 def _average(rows: pd.DataFrame) -> pd.DataFrame:
-    """One row of weights, averaged by the words that each was learnt from; times `tokens` of them all."""
+    """What trainers changed, averaged by the words that each learnt from, for one chunk of the weights."""
     share = rows["tokens"].to_numpy(float)
-    values = sum(np.frombuffer(v, F32).astype(np.float64) * s for v, s in zip(rows["part"], share / share.sum(), strict=True))
-    return pd.DataFrame({"chunk": [rows["chunk"].iloc[0]], "some": [0], "tokens": [rows["tokens"].sum()], "part": [values.astype(F32).tobytes()]})
+    values = sum(np.frombuffer(v, F16).astype(np.float64) * s for v, s in zip(rows["part"], share / share.sum(), strict=True))
+    return pd.DataFrame({"chunk": [rows["chunk"].iloc[0]], "some": [0], "tokens": [rows["tokens"].sum()], "part": [values.astype(F16).tobytes()]})
 
 
 WEIGHTS = "chunk long, some long, tokens long, part binary"
@@ -426,6 +485,7 @@ def learn(coded: DataFrame, head: Head) -> tuple[dict[str, np.ndarray], int]:
     """Weights from the training documents (row, ranks), and the number of words learnt from in all passes.
 
     A trainer's documents come in the order of a hash of their row, so a run that is repeated learns the same.
+    Trainers send what they changed, in half precision.
     """
     c, weights, tokens = head.config, initial(head), 0
     if not head.network:
@@ -446,7 +506,7 @@ def learn(coded: DataFrame, head: Head) -> tuple[dict[str, np.ndarray], int]:
                     trainer.add(np.frombuffer(ranks, "<i4").astype(np.int64))
             trainer.finish()
             if trainer.tokens:
-                flat = _flat(trainer.w)
+                flat = (_flat(trainer.w) - _flat(shared.value)).astype(F16)
                 parts = [flat[k : k + _CHUNK].tobytes() for k in range(0, len(flat), _CHUNK)]
                 some = TaskContext.get().partitionId() // MET
                 columns = [pa.array(range(len(parts)), pa.int64()), pa.array([some] * len(parts), pa.int64()), pa.array([trainer.tokens] * len(parts), pa.int64()), pa.array(parts, pa.binary())]
@@ -458,22 +518,22 @@ def learn(coded: DataFrame, head: Head) -> tuple[dict[str, np.ndarray], int]:
             learnt = learnt.groupBy("chunk", "some").applyInPandas(_average, WEIGHTS)
         averaged = sorted(learnt.groupBy("chunk").applyInPandas(_average, WEIGHTS).collect())
         if averaged:
-            weights = _shaped(np.concatenate([np.frombuffer(r["part"], F32) for r in averaged]), weights)
+            weights = _shaped(_flat(weights) + np.concatenate([np.frombuffer(r["part"], F16) for r in averaged]).astype(F32), weights)
             tokens += averaged[0]["tokens"]
         shared.unpersist()
     return weights, tokens
 
 
-CODED = "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, ranks binary, rare array<binary>, times array<long>"
+CODED = "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, ranks binary, rare string"
 SCORED = "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double"
 #: Words that are scored at once: whole documents up to so many, or one longer document.
 AT_ONCE = 1 << 20
 
 
 def code(rows: DataFrame, head) -> DataFrame:
-    """Each row of (doc_id, held_out, text) as the ranks of its words, and the words that have none; head: a broadcast Head."""
+    """Each row of (doc_id, held_out, text) as the ranks of its words, and the words that have none, as often as they occur; head: a broadcast Head."""
     names = [x.split()[0] for x in CODED.split(", ")]
-    kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int64())]
+    kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.binary(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -485,11 +545,12 @@ def code(rows: DataFrame, head) -> DataFrame:
                 found = [*words(text), END]
                 ranks = head.value.coded(found)
                 there = ranks[ranks >= 0]
-                rare = Counter(map(found.__getitem__, np.flatnonzero(ranks < 0).tolist()))
-                out.append((at, doc, held, len(found), len(there), float(head.value.base[there].sum()), ranks.astype("<i4").tobytes(), list(rare), list(rare.values())))
+                rare = b" ".join(map(found.__getitem__, np.flatnonzero(ranks < 0).tolist()))
+                out.append((at, doc, held, len(found), len(there), float(head.value.base[there].sum()), ranks.astype("<i4").tobytes(), rare or None))
                 at += 1
             columns = list(zip(*out, strict=True)) or [()] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+            arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([*arrays[:-1], arrays[-1].cast(pa.string())], names=names)
 
     return rows.mapInArrow(run, CODED)
 
@@ -544,21 +605,22 @@ def score_documents(docs: DataFrame, config: Config | None = None) -> DataFrame:
     coded = cut(code(rows.select("doc_id", "held_out", "text"), context.broadcast(head)), "coded")
     weights, _ = learn(coded.where(~F.col("held_out")).select("row", "ranks"), head)
     scores = cut(score_rows(coded, context.broadcast((head, weights))), "scores")
-    each = coded.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
+    each = coded.where("rare is not null").select("row", F.explode(F.split("rare", " ")).alias("word"))
+    rare_counts = counts.where(F.col("c") < least).select(F.col("word").cast("string").alias("word"), "c")
     c = F.coalesce("c", F.lit(0))
-    in_class = F.log10(c + 1) - math.log10(head.rare_total + head.rare_distinct + 1)
-    sums = each.join(counts.where(F.col("c") < least), "word", "left").groupBy("row").agg(
-        F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("known_rare"),
-        F.sum(F.col("times") * (F.log10(c + 1) - math.log10(head.total + head.distinct + 1))).alias("base_rare"),
-        F.sum(F.col("times") * in_class).alias("score_rare"),
+    sums = each.join(rare_counts, "word", "left").groupBy("row").agg(
+        F.count("c").alias("known_rare"),
+        F.sum(F.log10(c + 1)).alias("logs"),
+        F.count("*").alias("all_rare"),
     )
-    zero = F.lit(0.0)
+    logs, all_rare = F.coalesce("logs", F.lit(0.0)), F.coalesce("all_rare", F.lit(0))
+    of_base, of_class = math.log10(head.total + head.distinct + 1), math.log10(head.rare_total + head.rare_distinct + 1)
     return scores.join(sums, "row", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",
         (F.col("known") + F.coalesce("known_rare", F.lit(0))).alias("n_known"),
         F.lit(head.total).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("base_rare", zero)).alias("base_score"),
-        (F.col("score") + F.coalesce("score_rare", zero)).alias("score"),
+        (F.col("base") + logs - all_rare * of_base).alias("base_score"),
+        (F.col("score") + logs - all_rare * of_class).alias("score"),
     )
