@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,6 +63,17 @@ def small(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.Re
         pa.default_memory_pool().release_unused()
 
 
+def by_bytes(column: pa.Array, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows whose texts have `most` bytes or fewer together, or one longer text."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(sizes, dtype=np.int64)
+    low = 0
+    while low < len(ends):
+        high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + most, side="right")))
+        yield low, high
+        low = high
+
+
 def words(text: bytes | None) -> list[bytes]:
     """Words [^\\x20\\x09-\\x0D]+ with A-Z in lower case; none for null."""
     return text.lower().split() if text else []

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import byte_rows, cut, small, words
+from lumenframe.llm.common import by_bytes, byte_rows, cut, small, words
 
 END = b"\n"  # no word holds it
 F32, F16 = np.float32, np.float16
@@ -50,7 +50,7 @@ class Config:
     class_words: int = 64
     head_words: int = 200_000  # words that every task knows, with their counts
     window: int = 32
-    streams: int = 192  # texts side by side in training, at most
+    streams: int = 256  # texts side by side in training, at most
     steps: int = 300  # a trainer's aim in a round; with fewer words it has fewer texts side by side
     rounds: int = 4  # a pass learns from each training document in one of them
     pass_words: int = 2_000_000  # a smaller corpus has as many passes as reach this, up to most_passes
@@ -82,9 +82,11 @@ class Head:
     distinct: int
     config: Config
     rare_total: int = 0
+    # by rank; the last two places are those of no word (-2) and of a rare one (-1)
     classes: np.ndarray = field(init=False)
     inputs: np.ndarray = field(init=False)
-    fixed: np.ndarray = field(init=False)  # log10 share in a class by rank; 0 for the network's words
+    fixed: np.ndarray = field(init=False)  # log10 share in a class; 0 for the network's words
+    base: np.ndarray = field(init=False)  # log10 probability by counts; 0 for rare words
 
     def __post_init__(self):
         n, c = len(self.counts), self.config
@@ -92,33 +94,28 @@ class Head:
         self.network_classes = math.ceil(self.network / c.class_words)
         rank = np.arange(n)
         by_rank = np.floor(np.log2(np.maximum(rank, 1) / max(1, self.network))).astype(np.int64)
-        self.classes = np.where(rank < self.network, rank // c.class_words, self.network_classes + np.maximum(by_rank, 0)) if n else rank
-        self.n_classes = int(self.classes.max()) + 2 if n else 1  # the last one is that of rare words
-        self.inputs = np.where(rank < self.network, rank, self.network + self.classes - self.network_classes)
+        classes = np.where(rank < self.network, rank // c.class_words, self.network_classes + np.maximum(by_rank, 0))
+        self.n_classes = int(classes.max()) + 2 if n else 1  # the last one is that of rare words
         self.n_inputs = self.network + self.n_classes - self.network_classes
         self.rare_distinct = self.distinct - n
-        mass = np.bincount(self.classes, self.counts, self.n_classes) if n else np.zeros(1)
+        mass = np.bincount(classes, self.counts, self.n_classes) if n else np.zeros(1)
         self.rare_total = int(self.total - self.counts.sum())
         mass[-1] = max(self.rare_total, 1)
         self.mass = mass
-        self.fixed = np.where(rank < self.network, 0.0, np.log10(self.counts / mass[self.classes])) if n else np.zeros(0)
+        self.classes = np.append(classes, [0, self.n_classes - 1])
+        self.inputs = np.append(np.where(rank < self.network, rank, self.network + classes - self.network_classes), [0, self.n_inputs - 1])
+        self.fixed = np.append(np.where(rank < self.network, 0.0, np.log10(self.counts / mass[classes])), [0.0, 0.0])
+        self.base = np.append(np.log10((self.counts + 1) / (self.total + self.distinct + 1)), [0.0, 0.0])
         self.first = self.ranks.get(END, -1)
-        self.base = np.log10((self.counts + 1) / (self.total + self.distinct + 1))
 
     def coded(self, found: list[bytes]) -> np.ndarray:
         """Ranks of words, -1 for rare ones."""
-        return np.fromiter(map(self.ranks.get, found, repeat(-1)), np.int64, len(found))
-
-    def classes_of(self, ranks: np.ndarray) -> np.ndarray:
-        return np.where(ranks >= 0, self.classes[ranks], self.n_classes - 1) if len(self.classes) else np.zeros(len(ranks), np.int64)
-
-    def inputs_of(self, ranks: np.ndarray) -> np.ndarray:
-        return np.where(ranks >= 0, self.inputs[ranks], self.n_inputs - 1) if len(self.inputs) else np.zeros(len(ranks), np.int64)
+        return np.fromiter(map(self.ranks.get, found, repeat(-1)), np.int32, len(found))
 
     @property
     def start(self) -> int:
         """Input before a document's first word: its end mark."""
-        return int(self.inputs_of(np.array([self.first]))[0])
+        return int(self.inputs[self.first])
 
 
 SHAPES = ("emb", "wx", "b", "u", "wc", "bc", "ww", "bw")
@@ -237,7 +234,7 @@ class Trainer:
 
     def train(self, n: int) -> None:
         """One window of n words of each stream; streams that have fewer are masked."""
-        ranks = np.full((self.streams, n), -2)
+        ranks = np.full((self.streams, n), -2, np.int32)
         for k, queue in enumerate(self.queues):
             got = 0
             while got < n and queue:
@@ -256,7 +253,7 @@ class Trainer:
         w, head, (n, b), hid = self.w, self.head, before.shape, self.c.hidden
         live = target != -2
         keeps = (before != head.first).astype(F32)[:, :, None]  # 0 where a document begins: no state
-        ins = head.inputs_of(np.maximum(before, -1))
+        ins = head.inputs[before]
         emb = w["emb"][ins]
         x = emb @ w["wx"]
         x += w["b"]
@@ -273,7 +270,7 @@ class Trainer:
         if not count:
             return
         self.tokens += count
-        cls = head.classes_of(goal)
+        cls = head.classes[goal]
         grads = {}
         p = flat @ w["wc"]
         p += w["bc"]
@@ -321,8 +318,9 @@ class Trainer:
         grads["u"], grads["b"], grads["wx"] = du, flat_dx.sum(0), emb.reshape(-1, emb.shape[-1]).T @ flat_dx
         grads["emb"] = np.zeros_like(w["emb"])
         order = np.argsort(ins, axis=None, kind="stable")
-        inputs, starts = np.unique(ins.ravel()[order], return_index=True)
-        grads["emb"][inputs] = np.add.reduceat((flat_dx @ w["wx"].T)[order], starts)
+        sorted_ins = ins.ravel()[order]
+        starts = np.flatnonzero(np.append(True, sorted_ins[1:] != sorted_ins[:-1]))
+        grads["emb"][sorted_ins[starts]] = np.add.reduceat((flat_dx @ w["wx"].T)[order], starts)
         self.adam(grads)
 
     def adam(self, grads: dict[str, np.ndarray]) -> None:
@@ -365,7 +363,7 @@ class Scorer:
 
     def _some(self, states: np.ndarray, goal: np.ndarray) -> np.ndarray:
         w, head = self.w, self.head
-        cls = head.classes_of(goal)
+        cls = head.classes[goal]
         logits = states @ w["wc"]
         logits += self.bc
         out = logits[np.arange(len(goal)), cls].astype(np.float64)
@@ -376,7 +374,8 @@ class Scorer:
         _, total, off = _exp(inside.logits, w["ww"], w["bw"])
         out[inside.rows] += picked - np.log(total) - off
         out /= LOG10
-        return out + np.where(goal >= 0, head.fixed[goal], 0.0) if len(head.fixed) else out
+        out += head.fixed[goal]
+        return out
 
     def score(self, docs: list[np.ndarray]) -> np.ndarray:
         out = np.zeros(len(docs))
@@ -392,22 +391,19 @@ class Scorer:
         for begin in range(0, int(lengths[0]) if len(part) else 0, self.n):
             active = int((lengths > begin).sum())
             n = min(self.n, int(lengths[0]) - begin)
-            ranks = np.full((n, active), -2)
+            ranks = np.full((active, n), -2, np.int32)
             for j in range(active):
                 piece = docs[part[j]][begin : begin + n]
-                ranks[: len(piece), j] = piece
-            ins = np.concatenate([before[None, :active], self.head.inputs_of(np.maximum(ranks, -1))])
+                ranks[j, : len(piece)] = piece
+            ranks = np.ascontiguousarray(ranks.T)
+            ins = np.concatenate([before[None, :active], self.head.inputs[ranks]])
             before[:active] = ins[-1]
-            states, rows = [], []
-            here = np.minimum(lengths[:active] - begin, n)
-            for t in range(n):
-                a = int(np.searchsorted(-here, -t, side="left"))  # lengths descend: the first a go on
-                h[:a] = step(self.x[ins[t, :a]], h[:a], self.w["u"])[0]
-                states.append(h[:a].copy())
-                rows.append(np.arange(a))
-            owner = np.concatenate(rows)
-            goal = np.concatenate([ranks[t, : len(r)] for t, r in enumerate(rows)])
-            out[np.array(part)[:active]] += np.bincount(owner, self.window(np.concatenate(states), goal), active)
+            live = ranks != -2
+            states = np.empty((n, active, h.shape[1]), F32)
+            for t, a in enumerate(live.sum(1).tolist()):  # lengths descend: the first a go on
+                h[:a] = states[t, :a] = step(self.x[ins[t, :a]], h[:a], self.w["u"])[0]
+            owner = np.broadcast_to(np.arange(active), live.shape)[live]
+            out[np.array(part)[:active]] += np.bincount(owner, self.window(states[live], ranks[live]), active)
 
 
 def held_out(doc_id):
@@ -503,7 +499,7 @@ def learn(coded: DataFrame, head: Head) -> tuple[dict[str, np.ndarray], int]:
             trainer = Trainer(shared_head.value, shared.value, streams)
             for batch in batches:
                 for ranks in batch.column(0).to_pylist():
-                    trainer.add(np.frombuffer(ranks, "<i4").astype(np.int64))
+                    trainer.add(np.frombuffer(ranks, "<i4"))
             trainer.finish()
             if trainer.tokens:
                 flat = (_flat(trainer.w) - _flat(shared.value)).astype(F16)
@@ -526,6 +522,8 @@ def learn(coded: DataFrame, head: Head) -> tuple[dict[str, np.ndarray], int]:
 
 CODED = "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, ranks binary, rare string"
 SCORED = "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double"
+#: Bytes of texts that are coded at once: whole texts up to so many, or one longer text.
+CODED_BYTES = 1 << 21
 #: Words that are scored at once: whole documents up to so many, or one longer document.
 AT_ONCE = 1 << 20
 
@@ -533,24 +531,38 @@ AT_ONCE = 1 << 20
 def code(rows: DataFrame, head) -> DataFrame:
     """Each row of (doc_id, held_out, text) as the ranks of its words, and the words that have none, as often as they occur; head: a broadcast Head."""
     names = [x.split()[0] for x in CODED.split(", ")]
-    kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.binary(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         at = TaskContext.get().partitionId() << 33
+        base = head.value.base
         for batch in small(batches):
-            out = []
-            for doc, held, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), byte_rows(batch.column(2)), strict=True):
-                found = [*words(text), END]
-                ranks = head.value.coded(found)
-                there = ranks[ranks >= 0]
-                rare = b" ".join(map(found.__getitem__, np.flatnonzero(ranks < 0).tolist()))
-                out.append((at, doc, held, len(found), len(there), float(head.value.base[there].sum()), ranks.astype("<i4").tobytes(), rare or None))
-                at += 1
-            columns = list(zip(*out, strict=True)) or [()] * len(names)
-            arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([*arrays[:-1], arrays[-1].cast(pa.string())], names=names)
+            for low, high in by_bytes(batch.column(2), CODED_BYTES):
+                part = batch.slice(low, high - low)
+                found = [[*words(text), END] for text in byte_rows(part.column(2))]
+                ends = np.cumsum(list(map(len, found)))
+                starts = ends - list(map(len, found))
+                every = list(itertools.chain.from_iterable(found))
+                ranks = head.value.coded(every)
+                rare = np.flatnonzero(ranks < 0)
+                of_doc = np.searchsorted(rare, np.append(starts, ends[-1]))
+                spelt = [every[k] for k in rare.tolist()]
+                data = ranks.astype("<i4").tobytes()
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(range(at, at + len(found)), pa.int64()),
+                        part.column(0),
+                        part.column(1),
+                        pa.array(ends - starts, pa.int64()),
+                        pa.array(ends - starts - np.diff(of_doc), pa.int64()),
+                        pa.array(np.add.reduceat(base[ranks], starts), pa.float64()),
+                        pa.array([data[4 * x : 4 * y] for x, y in zip(starts, ends, strict=True)], pa.binary()),
+                        pa.array([b" ".join(spelt[x:y]) or None for x, y in itertools.pairwise(of_doc)], pa.binary()).cast(pa.string()),
+                    ],
+                    names=names,
+                )
+                at += len(found)
 
     return rows.mapInArrow(run, CODED)
 
