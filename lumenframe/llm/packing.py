@@ -15,7 +15,6 @@ import bisect
 import zlib
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,10 +30,12 @@ MERGED = 256
 
 Piece = tuple[int | None, int, bytes, int]  # doc_id, start, ids, tokens of the document
 
+
 def split(piece: Piece, n: int) -> tuple[Piece, Piece]:
     doc, start, ids, total = piece
     return (doc, start, ids[: 4 * n], total), (doc, start + n, ids[4 * n :], total)
 
+
 class Packer:
     """Windows of `size` tokens, at most `most` of them open."""
 
@@ -112,6 +113,7 @@ class Packer:
         rows, self.rows = self.rows, []
         return rows
 
+
 def _packed(path: str, size: int, most: int):
     """(doc_id, text) -> rows of SCHEMA, and left: ids of a piece that is not placed yet (then sequence_id and offset give its order)."""
     names = [*FIELDS, "left"]
@@ -137,31 +139,36 @@ def _packed(path: str, size: int, most: int):
 
     return run
 
+
 def _merged(size: int):
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        packer = Packer(size, 1, (1 << 62) + (int(key[0]) << 32))
-        rows = rows.sort_values(["sequence_id", "offset"])
-        for r in rows.itertuples():
-            packer.put((None if pd.isna(r.doc_id) else int(r.doc_id), int(r.start), r.left, int(r.doc_tokens)))
+    """One merge's leftovers, as an Arrow table: ids and nulls stay what they are."""
+    kinds = [pa.int64()] * len(FIELDS)
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        packer = Packer(size, 1, (1 << 62) + (key[0].as_py() << 32))
+        for r in rows.sort_by([("sequence_id", "ascending"), ("offset", "ascending")]).to_pylist():
+            packer.put((r["doc_id"], r["start"], r["left"], r["doc_tokens"]))
         packer.close(packer.merge())
-        out = pd.DataFrame(packer.taken(), columns=FIELDS)
-        return out.astype({c: "Int64" for c in FIELDS})
+        columns = list(zip(*packer.taken(), strict=True)) or [()] * len(FIELDS)
+        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=FIELDS)
 
     return run
 
+
 def pack(docs: DataFrame, path: str, size: int = 2048, most: int = 64) -> DataFrame:
     """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A document is its text's ids and id 1, so a null or blank text is one token.
     Sequences hold `size` tokens or a power of two below, without padding. Which
-    documents share one depends on how the table is split. A null doc_id stays
-    null; repeated rows are packed each. Other columns are not read.
+    documents share one depends on how the table is split. A text longer than
+    `size` goes on in the next windows, to its end. A null doc_id stays null and
+    changes no other id; repeated rows are packed each. An empty table gives no
+    rows. Other columns are not read.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     made = rows.mapInArrow(_packed(path, size, most), f"{SCHEMA}, left binary")
     # each task leaves less than one window; MERGED tasks' leftovers meet
-
     made = cut(made, "packed")
-    rest = made.where("left is not null").withColumn("merge", F.floor(F.col("sequence_id") / MERGED))
-    tail = rest.groupBy("merge").applyInPandas(_merged(size), SCHEMA)
+    rest = made.where("left is not null").withColumn("merge", F.floor(F.col("sequence_id") / MERGED).cast("long"))
+    tail = rest.groupBy("merge").applyInArrow(_merged(size), SCHEMA)
     return made.where("left is null").select(*FIELDS).union(tail)

@@ -10,6 +10,8 @@ up to a bound.
 from __future__ import annotations
 
 import functools
+import itertools
+import json
 import os
 from collections.abc import Iterator
 
@@ -25,7 +27,8 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Fixed value: how byte-level BPE vocabularies of this family split text.
 PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-REMEMBERED = 1_000_000
+#: How many words a process remembers, and how long they are at most; other words are counted or encoded each time.
+REMEMBERED, REMEMBERED_LENGTH = 1_000_000, 64
 
 
 @functools.cache
@@ -38,6 +41,29 @@ def tokenizer(path: str):
     return t
 
 
+def check_byte_level(path: str) -> None:
+    """ValueError unless the file splits text as PRE_TOKENS says: the proof of whole tokens holds for such files only."""
+    said = json.loads(tokenizer(path).to_str())
+    split = said["pre_tokenizer"] or {}
+    plain = said["normalizer"] is None and split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space")
+    if not plain or said["model"].get("type") != "BPE" or said["model"].get("dropout") or said["model"].get("unk_token"):
+        raise ValueError(f"{path} is no plain byte-level BPE file")
+    sample = "it's  1st\n\n 'LL  <x> don't \u00bd\u4e2d \t end "
+    got = [sample[a:b] for _, (a, b) in tokenizer(path).pre_tokenizer.pre_tokenize_str(sample)]
+    if got != regex.findall(PRE_TOKENS, sample):
+        raise ValueError(f"{path} splits text otherwise than PRE_TOKENS")
+
+
+def check_word_ends(path: str) -> None:
+    """ValueError unless ASCII white space ends each pre-token and is dropped."""
+    t = tokenizer(path)
+    ids = lambda x: t.encode(x, add_special_tokens=False).ids
+    words = ["a", "Word's", "12", "\u00e9e", "\u0301x", "?!", "\u4e2d", "<|endoftext|>"]
+    for space, x, y in itertools.product(" \t\n\v\f\r", words, words):
+        if ids(f"{space}{x}{space}{y}{space}") != ids(x) + ids(y):
+            raise ValueError(f"{path}: words beside {space!r} are not encoded on their own")
+
+
 def byte_alphabet() -> dict[str, int]:
     """Character -> byte of byte-level vocabularies: printable bytes stand for themselves, the others follow from code point 256."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -71,6 +97,7 @@ class Counter:
     """
 
     def __init__(self, path: str):
+        check_byte_level(path)
         self.whole = proved_whole(path)
         self.model = tokenizer(path)
         self.split = regex.compile(PRE_TOKENS)
@@ -93,7 +120,7 @@ class Counter:
         size = dict(zip(rest, (len(c.ids) for c in self.model.encode_batch_fast(rest, add_special_tokens=False)), strict=True))
         found = {x: sum(size.get(p, 1) for p in ps) for x, ps in zip(texts, parts, strict=True)}
         if len(known) < REMEMBERED:
-            known.update(found)
+            known.update((x, n) for x, n in found.items() if len(x) <= REMEMBERED_LENGTH)
         return found
 
     def plain(self, text: str) -> int:
@@ -106,10 +133,7 @@ class Counter:
         if tail and not tail[-1]:  # a space at the very end follows its word
             tail.pop()
             return self.plain(text[:-1]) + self.merged([" "])
-        if head not in self.first:
-            first = self.learn([head], "", self.first)[head] if head else 0
-        else:
-            first = self.first[head]
+        first = self.first[head] if head in self.first else self.learn([head], "", self.first)[head] if head else 0
         try:
             return first + sum(map(self.known.__getitem__, tail))
         except KeyError:
@@ -133,7 +157,8 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
 
     path: a byte-level BPE file of the tokenizers library. A null text is empty
     and has no tokens; a null doc_id stays null; texts are counted whole, however
-    long; repeated rows give repeated rows. Other columns are not read.
+    long; repeated rows give repeated rows; an empty table gives none. A file that
+    does not split text as PRE_TOKENS says is refused. Other columns are not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,6 +182,7 @@ class Encoder:
     """
 
     def __init__(self, path: str):
+        check_word_ends(path)
         self.model = tokenizer(path)
         self.known: dict[bytes, bytes] = {}
 
@@ -166,7 +192,7 @@ class Encoder:
         coded = self.model.encode_batch_fast([x.decode() for x in texts], add_special_tokens=False)
         found = {x: np.array(c.ids, "<u4").tobytes() for x, c in zip(texts, coded, strict=True)}
         if len(self.known) < REMEMBERED:
-            self.known.update(found)
+            self.known.update((x, ids) for x, ids in found.items() if len(x) <= REMEMBERED_LENGTH)
         return found
 
     def ids(self, text: bytes | None) -> bytes:

@@ -180,6 +180,25 @@ def test_token_counts_equal_the_library(spark):
     assert [tuple(r) for r in tokens.count_tokens(docs_of(spark, [None], [None]), path).collect()] == [(None, 0, 0, False)]
 
 
+def test_tokenizers_of_another_kind_are_refused(spark):
+    byte_level, word_ends = tokenizer_path("byte_bpe_50k.json"), tokenizer_path("word_bpe_49k.json")
+    tokens.check_byte_level(byte_level)
+    tokens.check_word_ends(word_ends)
+    with pytest.raises(ValueError):
+        tokens.check_byte_level(word_ends)
+    with pytest.raises(ValueError):
+        tokens.check_word_ends(byte_level)
+
+
+def test_token_counts_remember_no_long_words(spark):
+    counter = tokens.Counter(tokenizer_path("byte_bpe_50k.json"))
+    text = "a " + "xy" * 5000 + " b " + "xy" * 5000
+    assert counter.count(text) == len(tokens.tokenizer(tokenizer_path("byte_bpe_50k.json")).encode(text, add_special_tokens=False).ids)
+    assert max(map(len, counter.known)) <= tokens.REMEMBERED_LENGTH
+    df = docs_of(spark, ["a"])
+    assert tokens.count_tokens(df.limit(0), tokenizer_path("byte_bpe_50k.json")).count() == 0
+
+
 def test_packing_is_whole_and_gapless(spark, sf_dir):
     path = tokenizer_path("word_bpe_49k.json")
     texts = [r.text for r in table(spark, sf_dir, "documents").collect()] + NASTY + fuzz(200, 2)
@@ -210,6 +229,18 @@ def test_packing_is_whole_and_gapless(spark, sf_dir):
     assert sum(n < 256 for n in lengths) <= 8
 
 
+def test_packing_keeps_ids_beside_nulls(spark):
+    big = (1 << 60) + 1
+    rows = [(big, "a b c"), (None, "d e"), (-big, None), (big, "a b c"), (None, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = packing.pack(df, tokenizer_path("word_bpe_49k.json")).collect()
+    tokens_of = Counter()
+    for r in got:
+        tokens_of[r.doc_id] += r.length
+    assert tokens_of == {big: 8, None: 4, -big: 1}
+    assert packing.pack(df.limit(0), tokenizer_path("word_bpe_49k.json")).count() == 0
+
+
 def test_quality_counts_equal_brute_force():
     rng = random.Random(5)
     for _ in range(400):
