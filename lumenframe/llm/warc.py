@@ -3,9 +3,15 @@
 Writing: records go to compressed archives, one gzip member for each record, in
 the order of their reversed-host key. Beside each archive lies its index: capture
 lines, sorted by key, in compressed blocks (level two), and a sparse directory
-with the first key and the place of each block (level one). Reading: the
-directory is binary-searched, one block is read by range and searched, and the
-record is read by range from the archive.
+with the first key and the place of each block (level one). A catalog of the
+same form lists all archives of a folder by their first capture. Reading: the
+catalog and the archive's directory are binary-searched, one block is read by
+range and searched, and the record is read by range from the archive.
+
+Captures of one URL are told apart by their number, which is that of the row in
+the table that was written. Tables are dealt out by ranges of (key, number), so
+the archives of a folder cover ranges that do not overlap, also where one URL
+holds a large share of all rows.
 
 Files are written under a fresh name and only then announced as rows, so a task
 that runs twice leaves an unused file and nothing wrong. They are written
@@ -17,40 +23,33 @@ from __future__ import annotations
 import base64
 import bisect
 import hashlib
+import itertools
 import json
 import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import byte_rows, cut, shared_dir
+from lumenframe.llm.common import byte_rows, cut, shared_dir, small
 
 BLOCK_LINES = 512
 ARCHIVE_MB = 64
 BROADCAST_DIGESTS = 100_000  # 48 bytes each; beyond, pages go by digest, and the planner may split hot ones
-_HOST = re.compile(r"^[^:/?#]*://(?:[^/?#@]*@)?([^/?#:]*)(:\d+)?([^#]*)", re.S)
-
+_URL = r"(?s)^[^:/?#]*://(?:[^/?#@]*@)?([^/?#:]*)(:[0-9]+)?([^#]*)"
 
-def reversed_key(url: str | None) -> str:
-    """SURT-like key: host labels from the right, then port, path and query; null gives ''."""
-    if url is None:
-        return ""
-    m = _HOST.match(url)
-    if not m:
-        return url
-    host = ",".join(reversed(m[1].lower().split(".")))
-    return f"{host}{m[2] or ''}){m[3] or '/'}"
 
-
-def reversed_key_column(url):
-    """The host part of reversed_key as a column: what the table is dealt out by."""
-    host = F.lower(F.regexp_extract(url, r"^[^:/?#]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
-    return F.coalesce(F.array_join(F.reverse(F.split(host, r"\.")), ","), F.lit(""))
+def reversed_key(url: Column) -> Column:
+    """SURT-like key: host labels from the right, then port, path and query. What is no URL is its own key, null that of ''."""
+    part = lambda k: F.regexp_extract(url, _URL, k)
+    host = F.array_join(F.reverse(F.split(F.lower(part(1)), r"\.")), ",")
+    key = F.concat(host, part(2), F.lit(")"), F.when(part(3) == "", "/").otherwise(part(3)))
+    return F.coalesce(F.when(url.rlike(_URL), key).otherwise(url), F.lit(""))
 
 
 def digest(payload: bytes) -> str:
@@ -91,165 +90,260 @@ def _member(data: bytes) -> bytes:
     return packer.compress(data) + packer.flush()
 
 
-def _line(key: str, page_id: int | None, ordinal: int, offset: int, length: int) -> str:
-    return f"{json.dumps(key)[1:-1]}\t{'' if page_id is None else page_id}\t{ordinal}\t{offset}\t{length}"
+Key = tuple[str, int]  # reversed-host key and number of a capture
+
+
+def write_blocks(store: fs.FileSystem, base: str, lines: Iterator[tuple[Key, str]]) -> None:
+    """A sorted list of (key, rest) in two levels: compressed blocks of lines, and a directory of their first keys and places."""
+    directory, at = [], 0
+    spelt = lambda key, rest: f"{json.dumps(key[0])}\t{key[1]}\t{rest}"
+    with store.open_output_stream(f"{base}.cdx.gz", compression=None) as out:
+        while part := list(itertools.islice(lines, BLOCK_LINES)):
+            data = _member("\n".join(spelt(*x) for x in part).encode())
+            out.write(data)
+            directory.append(spelt(part[0][0], f"{at}\t{len(data)}"))
+            at += len(data)
+    with store.open_output_stream(f"{base}.idx", compression=None) as out:
+        out.write("\n".join(directory).encode())
+
+
+def _parsed(data: bytes) -> list[tuple[Key, list[str]]]:
+    split = [line.split("\t") for line in data.decode().split("\n") if line]
+    return [((json.loads(x[0]), int(x[1])), x[2:]) for x in split]
 
 
-def _order(key: str, page_id: int | None) -> tuple:
-    return (json.dumps(key)[1:-1], -(1 << 63) if page_id is None else page_id)
+class Blocks:
+    """Reads what write_blocks wrote: the directory is held, one block at a time is read by range."""
+
+    def __init__(self, store: fs.FileSystem, base: str):
+        with store.open_input_stream(f"{base}.idx", compression=None) as f:
+            self.directory = _parsed(f.read())
+        self.first = [key for key, _ in self.directory]
+        self.file = store.open_input_file(f"{base}.cdx.gz")
+        self.block, self.keys, self.lines = -1, [], []
+
+    def load(self, k: int) -> None:
+        if k != self.block:
+            offset, length = map(int, self.directory[k][1])
+            self.lines = _parsed(zlib.decompress(self.file.read_at(length, offset), 31))
+            self.block, self.keys = k, [key for key, _ in self.lines]
+
+    def last_up_to(self, key: Key) -> tuple[Key, list[str]] | None:
+        """The last line whose key is `key` or smaller."""
+        k = bisect.bisect_right(self.first, key) - 1
+        if k < 0:
+            return None
+        self.load(k)
+        return self.lines[bisect.bisect_right(self.keys, key) - 1]
+
+    def beginning(self, key: Key) -> Iterator[tuple[Key, list[str]]]:
+        """Lines from the first one at `key` or larger."""
+        k = max(0, bisect.bisect_right(self.first, key) - 1)
+        for block in range(k, len(self.first)):
+            self.load(block)
+            lines = self.lines  # another search may load another block
+            yield from lines[bisect.bisect_left(self.keys, key) if block == k else 0 :]
+
+    def close(self) -> None:
+        self.file.close()
 
 
 class ArchiveWriter:
-    """One archive and its index. Records have to come by ascending (key, page_id)."""
+    """One archive and its index. Records have to come by ascending (key, number)."""
 
     def __init__(self, folder: str):
         self.store, path = fs.FileSystem.from_uri(folder)
         self.store.create_dir(path, recursive=True)
         self.base = f"{path}/{uuid.uuid4().hex}"
-        self.uri = f"{folder}/{self.base.rsplit('/', 1)[1]}"
+        self.name = self.base.rsplit("/", 1)[1]
         self.out, self.at, self.lines = self.store.open_output_stream(f"{self.base}.warc.gz", compression=None), 0, []
 
-    def add(self, key: str, page_id: int | None, raw: bytes) -> int:
-        """The record's ordinal, which tells records of one key and page_id apart."""
+    def add(self, key: Key, raw: bytes) -> None:
         data = _member(raw)
         self.out.write(data)
-        self.lines.append((key, page_id, len(self.lines), self.at, len(data)))
+        self.lines.append((key, f"{self.at}\t{len(data)}"))
         self.at += len(data)
-        return len(self.lines) - 1
 
     def close(self) -> None:
         self.out.close()
-        directory, at = [], 0
-        with self.store.open_output_stream(f"{self.base}.cdx.gz", compression=None) as out:
-            for k in range(0, len(self.lines), BLOCK_LINES):
-                part = self.lines[k : k + BLOCK_LINES]
-                data = _member("\n".join(_line(*x) for x in part).encode())
-                out.write(data)
-                directory.append(_line(*part[0][:3], at, len(data)))
-                at += len(data)
-        with self.store.open_output_stream(f"{self.base}.idx", compression=None) as out:
-            out.write("\n".join(directory).encode())
-
-
-def _parsed(lines: list[str]) -> list[tuple]:
-    out = []
-    for line in lines:
-        key, ident, ordinal, offset, length = line.split("\t")
-        out.append(((key, int(ident) if ident else -(1 << 63), int(ordinal)), int(offset), int(length)))
-    return out
-
-
-class ArchiveReader:
-    """Looks captures up in one archive: directory, then block, then record."""
-
-    def __init__(self, uri: str):
-        self.store, self.base = fs.FileSystem.from_uri(uri)
-        with self.store.open_input_stream(f"{self.base}.idx", compression=None) as f:
-            self.directory = _parsed([x for x in f.read().decode().split("\n") if x])
-        self.first = [d[0] for d in self.directory]
-        self.blocks = self.store.open_input_file(f"{self.base}.cdx.gz")
-        self.archive = self.store.open_input_file(f"{self.base}.warc.gz")
-        self.block, self.keys, self.lines = -1, [], []
+        write_blocks(self.store, self.base, iter(self.lines))
 
-    def find(self, key: str, page_id: int | None, ordinal: int) -> dict | None:
-        wanted = (*_order(key, page_id), ordinal)
-        k = bisect.bisect_right(self.first, wanted) - 1
-        if k < 0:
-            return None
-        if k != self.block:
-            _, offset, length = self.directory[k]
-            self.lines = _parsed(zlib.decompress(self.blocks.read_at(length, offset), 31).decode().split("\n"))
-            self.block, self.keys = k, [x[0] for x in self.lines]
-        n = bisect.bisect_left(self.keys, wanted)
-        if n == len(self.keys) or self.keys[n] != wanted:
-            return None
-        _, offset, length = self.lines[n]
+
+class Collection:
+    """Looks captures up over all archives of a folder. Holds one archive open."""
+
+    def __init__(self, folder: str, catalog: str):
+        self.store, self.path = fs.FileSystem.from_uri(folder)
+        self.catalog = Blocks(self.store, f"{self.path}/{catalog}")
+        self.name, self.index, self.archive = "", None, None
+
+    def open(self, name: str) -> None:
+        if name != self.name:
+            self.shut()
+            self.index = Blocks(self.store, f"{self.path}/{name}")
+            self.archive = self.store.open_input_file(f"{self.path}/{name}.warc.gz")
+            self.name = name
+
+    def shut(self) -> None:
+        if self.index:
+            self.index.close()
+            self.archive.close()
+            self.index, self.name = None, ""
+
+    def record(self, line: list[str]) -> dict:
+        offset, length = map(int, line)
         return parse(zlib.decompress(self.archive.read_at(length, offset), 31))
 
+    def find(self, key: Key) -> dict | None:
+        """The record of one capture."""
+        if (entry := self.catalog.last_up_to(key)) is None:
+            return None
+        self.open(entry[1][0])
+        found = self.index.last_up_to(key)
+        return self.record(found[1]) if found and found[0] == key else None
+
+    def captures(self, key: str) -> Iterator[dict]:
+        """The records of all captures of a key, by number; they may go on over several archives."""
+        least = (key, -1)
+        before = self.catalog.last_up_to(least)
+        for first, (name,) in itertools.chain([before] if before else [], self.catalog.beginning(least)):
+            if first[0] > key:
+                return
+            self.open(name)
+            for at, line in self.index.beginning(least):
+                if at[0] != key:
+                    break
+                yield self.record(line)
+
     def close(self) -> None:
-        self.blocks.close()
-        self.archive.close()
+        self.shut()
+        self.catalog.close()
 
 
 def _write(folder: str):
-    """Sorted (page_id, url, html, response_id) -> one row for each record: page_id, url, archive, ordinal."""
+    """Sorted (key, number, page_id, url, html, response_id) -> (key, number, archive) of each record."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer, done = None, []
 
         def flush() -> pa.RecordBatch:
             writer.close()
-            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in done], pa.int64()), pa.array([x[1] for x in done], pa.string()), pa.array([writer.uri] * len(done), pa.string()), pa.array([x[2] for x in done], pa.int64())], names=["page_id", "url", "archive", "ordinal"])
+            keys, numbers = zip(*done, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(numbers, pa.int64()), pa.array([writer.name] * len(done), pa.string())], names=["key", "number", "archive"])
 
-        last: tuple | None = None
-        for batch in batches:
-            ids, urls, pages, refs = (batch.column(k) for k in range(4))
-            rows = zip(ids.to_pylist(), urls.to_pylist(), byte_rows(pages), refs.to_pylist(), strict=True)
-            for page_id, url, payload, ref in sorted(rows, key=lambda r: _order(reversed_key(r[1]), r[0])):
-                key = reversed_key(url)
-                now = _order(key, page_id)
-                if writer and (writer.at > ARCHIVE_MB << 20 or now < last):  # a batch may begin below the last one's end
+        for batch in small(batches):
+            keys, numbers, ids, urls, pages, refs = batch.columns
+            for key, number, page_id, url, payload, ref in zip(keys.to_pylist(), numbers.to_pylist(), ids.to_pylist(), urls.to_pylist(), byte_rows(pages), refs.to_pylist(), strict=True):
+                if writer and writer.at > ARCHIVE_MB << 20:
                     yield flush()
                     writer, done = None, []
-                writer, last = writer or ArchiveWriter(folder), now
-                ordinal = writer.add(key, page_id, record(page_id, url, payload or b"", digest(payload or b""), ref))
-                done.append((page_id, url, ordinal))
+                writer = writer or ArchiveWriter(folder)
+                writer.add((key, number), record(page_id, url, payload or b"", digest(payload or b""), ref))
+                done.append((key, number))
         if writer:
             yield flush()
 
     return run
 
 
-def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(page_id, url, archive, ordinal) -> the records as read back, payloads checked against their digests."""
-    names = ["page_id", "url", "record_type", "payload_digest", "payload_bytes", "refers_to"]
-    kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()]
-    reader, uri = None, None
-    for batch in batches:
-        out = []
-        for page_id, url, archive, ordinal in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-            if archive != uri:
-                if reader:
-                    reader.close()
-                reader, uri = ArchiveReader(archive), archive
-            found = reader.find(reversed_key(url), page_id, ordinal)
-            if found is None:
-                raise ValueError(f"no capture of page {page_id} in {archive}")
-            if found["record_type"] == "response" and (digest(found["payload"]) != found["payload_digest"] or len(found["payload"]) != found["payload_bytes"]):
-                raise ValueError(f"damaged record of page {page_id} in {archive}")
-            out.append(found)
-        yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in out], t) for n, t in zip(names, kinds, strict=True)], names=names)
-    if reader:
-        reader.close()
+def _catalog(folder: str):
+    """Sorted (key, number, archive), one for each archive -> the catalog's name."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, path = fs.FileSystem.from_uri(folder)
+        store.create_dir(path, recursive=True)
+        name = f"catalog-{uuid.uuid4().hex}"
+        write_blocks(store, f"{path}/{name}", (((k, n), a) for batch in batches for k, n, a in zip(*(c.to_pylist() for c in batch.columns), strict=True)))
+        yield pa.RecordBatch.from_arrays([pa.array([name])], names=["name"])
+
+    return run
+
+
+RECORD = "page_id long, url string, record_type string, payload_digest string, payload_bytes long, refers_to long, payload binary"
+DIGESTS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
+_KINDS = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
+
+
+def _records(found: list[dict], schema: str) -> pa.RecordBatch:
+    fields = [x.split() for x in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r[n] for r in found], _KINDS[t]) for n, t in fields], names=[n for n, _ in fields])
+
 
+@dataclass(frozen=True)
+class Archives:
+    """Written archives: their folder, the catalog's name, and captures (key, number, archive) as a written table."""
 
-def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0) -> DataFrame:
-    """Write a record for each row of pages (page_id, url, html); returns page_id, url, archive, ordinal for each, as a written table.
+    folder: str
+    catalog: str
+    captures: DataFrame
+
+
+def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0) -> Archives:
+    """Write a record for each row of pages (page_id, url, html) into a folder of its own.
 
     Of records with equal payloads of at least least_bytes bytes the one with the
     largest page_id is the response and others revisit it; the rest are responses.
     A null html is an empty payload; rows that repeat the response's page_id and
-    payload are responses too; a null page_id never stands for others.
+    payload are responses too; a null page_id never stands for others. Rows that
+    share URL and page_id are captures with numbers of their own, whatever their
+    html. An empty table gives an empty catalog. Other columns are not read. pages
+    has to give the same rows in the same order when a task is repeated, as files do.
     """
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+    url = F.col("url").cast("string")
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), url.alias("url"), F.col("html").cast("string").alias("html"), reversed_key(url).alias("key"), F.monotonically_increasing_id().alias("number"))
     rows = rows.withColumn("sha", F.sha1(F.coalesce("html", F.lit(""))))
     long_enough = F.octet_length(F.coalesce("html", F.lit(""))) >= least_bytes
-    # payloads that occur again; up to BROADCAST_DIGESTS of them reach every task, so that no page moves for this join
+    # payloads that occur again; up to BROADCAST_DIGESTS of them reach every task, so that no page moves for this join; beyond, both sides meet by digest with the same result
     again = rows.where(long_enough).groupBy("sha").agg(F.max("page_id").alias("response"), F.count("*").alias("copies")).where("copies > 1 and response is not null").select("sha", "response")
     again = cut(again, "copies")
     again = F.broadcast(again) if again.count() <= BROADCAST_DIGESTS else again
     rows = rows.join(again, "sha", "left").withColumn("ref", F.when(~F.col("page_id").eqNullSafe(F.col("response")), F.col("response")))
-    key = reversed_key_column(F.col("url"))
-    dealt = rows.select("page_id", "url", "html", "ref", key.alias("_host")).repartitionByRange("_host", "url", "page_id").sortWithinPartitions("_host", "url", "page_id")
-    return cut(dealt.select("page_id", "url", "html", "ref").mapInArrow(_write(folder), "page_id long, url string, archive string, ordinal long"), "captures")
+    dealt = rows.select("key", "number", "page_id", "url", "html", "ref").repartitionByRange("key", "number").sortWithinPartitions("key", "number")
+    captures = cut(dealt.mapInArrow(_write(folder), "key string, number long, archive string"), "captures")
+    first = captures.groupBy("archive").agg(F.min(F.struct("key", "number")).alias("first")).select("first.key", "first.number", "archive")
+    catalog = first.repartition(1).sortWithinPartitions("key", "number").mapInArrow(_catalog(folder), "name string").first()
+    return Archives(folder, catalog["name"], captures)
+
+
+def read_archives(archives: Archives, schema: str = RECORD) -> DataFrame:
+    """The record of each capture, looked up by its key and number over all archives; payloads are checked against their digests."""
+    folder, catalog = archives.folder, archives.catalog
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Collection(folder, catalog)
+        for batch in small(batches, 256):
+            out = []
+            for key in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found = reader.find(key)
+                if found is None:
+                    raise ValueError(f"no capture {key} in {folder}")
+                if found["record_type"] == "response" and (digest(found["payload"]) != found["payload_digest"] or len(found["payload"]) != found["payload_bytes"]):
+                    raise ValueError(f"damaged record {key} in {folder}")
+                out.append(found)
+            yield _records(out, schema)
+        reader.close()
 
+    return archives.captures.select("key", "number").mapInArrow(run, schema)
+
+
+def lookup(archives: Archives, urls: DataFrame) -> DataFrame:
+    """The records of all captures of each URL (column url), over all archives. A URL without captures gives none, a repeated one repeats them."""
+    folder, catalog = archives.folder, archives.catalog
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Collection(folder, catalog)
+        for batch in batches:
+            for url, key in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found = (r for r in reader.captures(key) if r["url"] == url)  # other schemes, users and fragments share the key
+                while part := list(itertools.islice(found, 256)):
+                    yield _records(part, RECORD)
+        reader.close()
 
-def read_archives(captures: DataFrame) -> DataFrame:
-    """The records of captures (page_id, url, archive, ordinal), found through each archive's index."""
-    return captures.mapInArrow(_read, "page_id long, url string, record_type string, payload_digest string, payload_bytes long, refers_to long")
+    wanted = urls.select(F.col("url").cast("string").alias("url"))
+    return wanted.withColumn("key", reversed_key(F.col("url"))).sortWithinPartitions("key").mapInArrow(run, RECORD)
 
 
 def archive_round_trip(pages: DataFrame) -> DataFrame:
-    """Write every page, read every record back: one row for each row of pages."""
+    """Write every page, read every record back: one row for each row of pages. Cases: see write_archives."""
     folder = f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
-    return read_archives(write_archives(pages, folder)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return read_archives(write_archives(pages, folder), DIGESTS)

@@ -133,8 +133,37 @@ def test_warc_finds_each_record_of_one_key(spark):
 
 def test_warc_least_bytes(spark):
     df = spark.createDataFrame([(1, "u", "ab"), (2, "u", "ab")], "page_id long, url string, html string")
-    captures = warc.write_archives(df, warc.shared_dir(spark) + "/least", least_bytes=3)
-    assert {r.record_type for r in warc.read_archives(captures).collect()} == {"response"}
+    archives = warc.write_archives(df, warc.shared_dir(spark) + "/least", least_bytes=3)
+    assert {r.record_type for r in warc.read_archives(archives).collect()} == {"response"}
+
+
+@pytest.mark.parametrize("most", [warc.BROADCAST_DIGESTS, 0])
+def test_warc_lookup_over_all_archives(spark, sf_dir, monkeypatch, most):
+    """Small blocks and archives, on both sides of the switch by size: every URL finds all of its captures."""
+    monkeypatch.setattr(warc, "BROADCAST_DIGESTS", most)
+    hot = [(5000 + k // 2, "http://hot.x/?q", f"hot {k % 7}") for k in range(300)]
+    rows = [(1, "http://a.b/c", "x"), (1, "http://a.b/c", "yy"), (None, "http://a.b/c", "x"), (2, None, "n"), (3, "no url", "o\tp"), (4, "http://a.b/c#f", "frag"), *hot]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").union(table(spark, sf_dir, "pages").selectExpr("page_id + 100", "url", "html"))
+    archives = warc.write_archives(df.repartition(5), f"{warc.shared_dir(spark)}/lookup{most}")
+    urls = df.select("url").distinct().union(spark.createDataFrame([("http://none.x/",)], "url string"))
+    key = lambda r: (r.page_id, r.url, r.payload_digest)
+    found = Counter(map(key, warc.lookup(archives, urls.where("url is not null")).collect()))
+    sha = lambda h: base64.b32encode(hashlib.sha1((h or "").encode()).digest()).decode()
+    assert found == Counter((r.page_id, r.url, sha(r.html)) for r in df.collect() if r.url is not None)
+    assert warc.read_archives(archives).count() == df.count()
+
+
+def test_warc_blocks_search(tmp_path):
+    from pyarrow import fs
+
+    keys = [(f"k{k // 3:04}", k % 3) for k in range(5000)]
+    warc.write_blocks(fs.LocalFileSystem(), f"{tmp_path}/x", iter([(k, str(i)) for i, k in enumerate(keys)]))
+    blocks = warc.Blocks(fs.LocalFileSystem(), f"{tmp_path}/x")
+    assert len(blocks.first) == -(-5000 // warc.BLOCK_LINES)
+    for i in (0, 1, 511, 512, 513, 2000, 4999):
+        assert blocks.last_up_to(keys[i]) == (keys[i], [str(i)])
+        assert [int(rest[0]) for _, rest in blocks.beginning(keys[i])] == list(range(i, 5000))
+    assert blocks.last_up_to(("", 0)) is None and blocks.last_up_to(("z", 0))[0] == keys[-1]
 
 
 def test_chat_round_trip(spark, sf_dir):
