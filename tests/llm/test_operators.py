@@ -341,6 +341,41 @@ def test_tiling_equals_brute_force():
         assert (got[0][2] if got else 0) == (want if want >= 0.3 * len(goal) else 0)
 
 
+def test_tiling_of_repetitive_texts_equals_brute_force():
+    rng = random.Random(10)
+    for k in range(300):
+        goal = [rng.choice("ab" if k % 2 else "abc") for _ in range(rng.randint(1, 18))]
+        doc = [rng.choice("ab" if k % 2 else "abcx") for _ in range(rng.randint(0, 30))]
+        least = rng.randint(1, 4)
+        got = tiling.Tiler([(1, " ".join(goal).encode())], least, 0.01).hits(" ".join(doc).encode())
+        want = brute_tiles(doc, goal, min(least, len(goal)))
+        assert (got[0][2] if got else 0) == want
+
+
+def test_tiling_many_texts_at_once():
+    """Texts that share seeds, some shorter than a seed."""
+    rng = random.Random(11)
+    goals = [[rng.choice("abcdef") for _ in range(rng.randint(1, 20))] for _ in range(40)]
+    tiler = tiling.Tiler([(k, " ".join(g).encode()) for k, g in enumerate(goals)], 3, 0.5)
+    for _ in range(30):
+        doc = [rng.choice("abcdefz") for _ in range(40)] + rng.choice(goals)
+        got = {item: n for item, _, n, _ in tiler.hits(" ".join(doc).encode())}
+        want = {k: brute_tiles(doc, g, min(3, len(g))) for k, g in enumerate(goals)}
+        assert got == {k: n for k, n in want.items() if n >= 0.5 * len(goals[k])}
+
+
+def test_tiling_of_long_repetitive_texts_is_bounded():
+    import resource
+    import time
+
+    tiler = tiling.Tiler([(1, b"word " * 2000)], 5, 0.5)
+    before, began = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss, time.time()
+    assert tiler.hits(b"word " * 100_000) == [(1, 1.0, 2000, 1)]
+    assert time.time() - began < 30 and resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 200 << 10
+    mixed = tiling.Tiler([(1, (b"a " * 50 + b"b ") * 20)], 5, 0.5)
+    assert mixed.hits(b"a " * 20_000)[0][2] == 1000
+
+
 def test_decontamination(spark):
     item = "The quick brown fox jumps over the lazy dog while seven wizards mix potent brews quietly"
     w = item.split()
