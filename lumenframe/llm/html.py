@@ -4,11 +4,15 @@ Pages of a host are sorted by URL path, and each is paired with that neighbour i
 this order whose path shares the longer beginning with its own. Both pages become
 lines: one for each block, with the elements it lies in. A longest common
 subsequence aligns the lines, and shared lines are deleted: they belong to the
-host, not to the page. Two exact checks follow. Lines of an element that holds
-the article are the page's own even where a neighbour repeats them, such as in a
-copied article. And furniture that the neighbour happens not to share, such as a
-rotating notice, is known by its element: menus, headers, footers, sidebars,
-notices, adverts, forms, comments.
+host, not to the page.
+
+Markup decides where it is explicit, since the pair cannot: furniture that changes
+from page to page (rotating adverts, menus of links to other pages) is shared with
+no neighbour, and articles may be copies of each other. Lines in elements for
+menus, headers, footers, sidebars, notices, adverts, forms and comments go. An
+article element is the page's main text. All other lines, and all lines of pages
+without an article element, stand or fall by the differencing; a class name that
+says article only keeps lines of its own which the neighbour repeats.
 """
 
 from __future__ import annotations
@@ -18,6 +22,7 @@ import json
 import re
 from collections.abc import Iterator
 from html import unescape
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -26,32 +31,43 @@ from pyspark.sql import functions as F
 from lumenframe.llm.urls import host_of, path_of
 
 #: Element names by what they do to text.
-SILENT = frozenset("head iframe noscript script style svg template title textarea select option datalist object canvas audio video math".split())
+SILENT = frozenset("head iframe noscript script style svg template title textarea select option datalist object canvas audio video".split())
 FURNITURE = frozenset("nav header footer aside form dialog menu button fieldset".split())
 ARTICLE = frozenset("article main".split())
-INLINE = frozenset("a abbr b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark math mfrac mi mn mo mover mroot mrow ms msqrt msub msubsup msup mtext munder munderover q ruby rt rp s samp semantics small span strike strong sub sup time tt u var wbr".split())
 EMPTY = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose start ends an open element of the same group.
 CLOSES = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}}
 KEEPS_P = INLINE | SILENT
-#: Words of class and id values.
+#: Whole class and id names of furniture, and of articles.
 FURNITURE_NAMES = frozenset(
-    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments comment-list commentlist consent cookie cookies disqus footer header hidden legal masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo related replies respond share sharing sidebar site-footer site-header skip social sponsor sponsored subscribe subscription toolbar widget".split()
+    "ad ads ad-banner ad-container ad-slot advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments comment-list comments-area commentlist consent cookie cookies cookie-banner cookie-consent cookie-notice disqus footer header hidden legal main-menu main-nav masthead menu modal nav nav-menu navbar navigation newsletter notice notices page-footer page-header pagination popup promo related related-articles related-posts replies respond share share-buttons sharing sidebar site-footer site-header site-nav skip skip-link social social-share sponsor sponsored subscribe subscription toolbar widget widget-area".split()
 )
 ARTICLE_NAMES = frozenset("article article-body articlebody content entry entry-content main main-content post post-body post-content story".split())
 FURNITURE_ROLES = frozenset("alert banner complementary contentinfo dialog form menu menubar navigation search".split())
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.S | re.I)
-_SPACE = re.compile(r"[ \t\n\r\f\v   -     　\x85]+")
+_SPACE = re.compile(r"[ \t\n\r\f\v\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\x1c-\x1f\x85]+")
 
-Line = tuple[str, bool, bool]  # text, lies in furniture, lies in an article
 
+class Place(NamedTuple):
+    """What the elements around a line say of it."""
 
-def _kind(name: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
-    """(furniture, article) of an element."""
-    furniture = name in FURNITURE and not (name == "header" and in_article)
-    article = name in ARTICLE
+    furniture: bool = False  # by element, role or hidden
+    named: bool = False  # by class or id, within the article if there is one
+    article: bool = False  # in an article element
+    body: bool = False  # in an element that only a class or id calls an article
+    around: bool = False  # class or id of an element that holds the article call it furniture
+
+
+Line = tuple[str, Place]
+
+
+def _placed(name: str, attributes: str, above: Place) -> Place:
+    """The place within an element of this name and attributes."""
+    furniture = name in FURNITURE and not (name == "header" and (above.article or above.body))
+    article, named, body = name in ARTICLE, False, False
     if attributes and "=" in attributes or "hidden" in attributes:
         for key, value in _ATTRIBUTE.findall(attributes):
             key, names = key.lower(), set(unescape(value.strip("\"'")).lower().split())
@@ -61,17 +77,20 @@ def _kind(name: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
                 furniture |= bool(names & FURNITURE_ROLES)
                 article |= bool(names & {"main", "article"})
             elif name not in ("html", "body"):
-                words = names | {w for n in names for w in re.split(r"[-_]+", n)}
-                furniture |= bool(words & FURNITURE_NAMES)
-                article |= bool(names & ARTICLE_NAMES)
-    return furniture, article and not furniture
+                named |= bool(names & FURNITURE_NAMES)
+                body |= bool(names & ARTICLE_NAMES)
+    if furniture or named:
+        return above._replace(furniture=above.furniture or furniture, named=above.named or named)
+    if article and not above.article:
+        return above._replace(article=True, named=False, around=above.around or above.named)
+    return above._replace(body=above.body or body)
 
 
 def page_lines(html: str) -> list[Line]:
     """The page's blocks in order: white space is one space, character references are decoded."""
     lines: list[Line] = []
     buffer: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, furniture, article; the last two hold for all inside
+    stack: list[tuple[str, Place]] = []
     at = 0
 
     def flush() -> None:
@@ -79,10 +98,10 @@ def page_lines(html: str) -> list[Line]:
             text = _SPACE.sub(" ", unescape("".join(buffer))).strip(" ")
             buffer.clear()
             if text:
-                lines.append((text, *(stack[-1][1:] if stack else (False, False))))
+                lines.append((text, stack[-1][1] if stack else Place()))
 
     def close(k: int) -> None:
-        if any(x[0] not in INLINE or x[1] for x in stack[k:]):
+        if any(x[0] not in INLINE or x[1].furniture or x[1].named for x in stack[k:]):
             flush()
         del stack[k:]
 
@@ -133,11 +152,11 @@ def page_lines(html: str) -> list[Line]:
                 elif stack[k][0] not in INLINE and stack[k][0] not in ("td", "th"):
                     break
             flush()
-        above = stack[-1][1:] if stack else (False, False)
-        furniture, article = _kind(name, m[3], above[1])
-        if furniture and name in INLINE:
+        above = stack[-1][1] if stack else Place()
+        place = _placed(name, m[3], above)
+        if name in INLINE and (place.furniture, place.named) != (above.furniture, above.named):
             flush()
-        stack.append((name, above[0] or furniture, above[1] or article))
+        stack.append((name, place))
     buffer.append(html[at:])
     flush()
     return lines
@@ -183,11 +202,15 @@ def shared(a: list[str], b: list[str]) -> list[bool]:
 
 def main_text(lines: list[Line], neighbour: list[Line] | None) -> str:
     """Blocks of the main text, joined by two line ends."""
+    held = any(p.article and not (p.furniture or p.named or p.around) for _, p in lines)
+    # what a class or id calls furniture is none if it holds the page's only article
+    kept = [not (p.furniture or p.named or (p.around and held)) for _, p in lines]
+    if any(k and p.article for k, (_, p) in zip(kept, lines, strict=True)):
+        return "\n\n".join(text for k, (text, p) in zip(kept, lines, strict=True) if k and p.article)
     common = shared([x[0] for x in lines], [x[0] for x in neighbour]) if neighbour else [False] * len(lines)
-    article = any(x[2] and not x[1] for x in lines)
-    if all(same for (_, furniture, _), same in zip(lines, common, strict=True) if not furniture):
+    if all(same for k, same in zip(kept, common, strict=True) if k):
         common = [False] * len(lines)  # a copy: the pair differs in nothing, which says nothing about the host
-    return "\n\n".join(text for (text, furniture, inside), same in zip(lines, common, strict=True) if not furniture and (inside if article else not same))
+    return "\n\n".join(text for k, same, (text, p) in zip(kept, common, lines, strict=True) if k and (p.body or not same))
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,8 +305,9 @@ def extract(pages: DataFrame) -> DataFrame:
     A null html is empty; pages with a null URL, or one without a host, are
     neighbours of each other; a page without a neighbour loses only furniture. A
     page that is a copy of its neighbour keeps what both have. A
-    page whose article is marked up gives that article; otherwise what is neither
-    furniture nor shared. Of two equally near neighbours the one before counts, by
+    page with an article element gives that article; otherwise what is neither
+    furniture nor shared. Texts of any length are read whole. An empty table gives
+    no rows. Of two equally near neighbours the one before counts, by
     path, then URL, then page_id, then html. Pages are dealt out by ranges of (host,
     path, URL, page_id), so a host of any size is spread over tasks, and neighbours
     are the same for any number of ranges. Repeated rows give repeated rows. Other

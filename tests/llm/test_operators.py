@@ -7,6 +7,7 @@ import itertools
 import random
 import zlib
 from collections import Counter
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -480,6 +481,70 @@ def test_html_marked_article(spark):
     assert html.extract(df.limit(0)).count() == 0
 
 
+def test_html_names_are_whole_and_spare_the_article(spark):
+    """Furniture by class or id: whole names only, and never an element that holds the page's article."""
+    text = lambda h: html.main_text(html.page_lines(h), None)
+    assert text('<div class="layout with-sidebar"><article><p>own</article><p>aside</div>') == "own"
+    assert text('<div class="sidebar"><p>links</p><article><p>own</p></article></div>') == "own"
+    assert text('<div class="related"><article>teaser</article></div><article>own</article>') == "own"
+    assert text('<article><div class="post-header"><h1>Title</h1></div><div class="related-work"><p>before us</div><div class="related">more</div></article>') == "Title\n\nbefore us"
+    assert text("<article><p class=it's>one</p><p>two isn't</p><p title='a>b'>three</p></article>") == "one\n\ntwo isn't\n\nthree"
+    assert text("<article><p>let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be</p></article>") == "let x=1 be"
+    assert text('<section id="comments"><article class="comment">no</article></section><article>yes</article>') == "yes"
+    assert text('<aside><article>teaser</article></aside><p>own</p>') == "own"
+
+
+def test_html_differencing_decides_without_an_article_element(spark):
+    """A class name marks a teaser only: the main text is what the neighbour has not; a host's line goes also there where markup says nothing."""
+    page = '<div>Host line</div><div class="story">Teaser {}</div><p>Main text {}</p><p>Host tail</p>'
+    rows = [(k, f"http://h.x/a/{k}", page.format(k // 2, k)) for k in range(4)]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: f"Teaser {k // 2}\n\nMain text {k}" for k in range(4)}
+
+
+class ArticleParser(HTMLParser):
+    """The article of pages in the tables, by the standard library's parser: another way to the same text."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.depth = 0
+        self.blocks = [[]]
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "article":
+            self.depth += 1
+        elif tag == "br":
+            self.blocks[-1].append(" ")
+        elif tag not in ("b", "a"):
+            self.blocks.append([])
+
+    def handle_endtag(self, tag):
+        if tag == "article":
+            self.depth -= 1
+        if tag not in ("b", "a"):
+            self.blocks.append([])
+
+    def handle_data(self, data):
+        if self.depth:
+            self.blocks[-1].append(data)
+
+    @property
+    def text(self):
+        return "\n\n".join(x for x in (" ".join("".join(b).split()) for b in self.blocks) if x)
+
+
+def test_html_query_equals_another_parser(spark):
+    sf = "/root/testdata/sf0.01"
+    pages = table(spark, sf, "pages").collect()
+    got = {r.page_id: r for r in QUERIES["op6_html_extract"](spark, sf).collect()}
+    assert len(got) == len(pages)
+    for page in pages:
+        parser = ArticleParser()
+        parser.feed(page.html)
+        r = got[page.page_id]
+        assert (r.url, r.text, r.n_chars) == (page.url, parser.text, len(parser.text))
+
+
 def lm_words(df):
     """Words of each document, and counts and their sum over the training documents, by brute force."""
     texts = {r.doc_id: [*(r.text or "").encode().lower().split(), b"\n"] for r in df.collect()}
