@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.llm.urls import host_of, path_of
+from lumenframe.llm.common import host_of, path_of
 
 #: Element names by what they do to text.
 SILENT = frozenset("head iframe noscript script style svg template title textarea select option datalist object canvas audio video".split())

@@ -10,6 +10,7 @@ from collections import Counter
 from html.parser import HTMLParser
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -406,18 +407,67 @@ def test_url_rules_and_parts(spark):
 
 
 def test_url_trees_on_held_out_urls():
-    import pandas as pd
-
+    """Junk hosts with digits: trees fitted on two thirds judge the rest."""
     rng = random.Random(4)
     rows = []
     for k in range(1500):
         bad = k % 3 == 0
         host = f"{rng.choice(['cheap', 'win'])}-{rng.randrange(10**6)}.example.com" if bad else f"{rng.choice(['news', 'blog', 'docs'])}.example.org"
-        rows.append((f"http://{host}/en/{rng.randrange(999)}", host, "/en/1", 10, 3, 10, int(bad)))
-    frame = pd.DataFrame(rows, columns=["url", "host", "path", "suffix_urls", "suffix_bad", "suffix_labelled", "label"])
-    x, y = urls.features(frame), frame["label"].to_numpy(float)
-    trees = urls.fit(x[:1000], y[:1000])
-    assert ((trees.probability(x[1000:]) >= 0.5) == y[1000:]).mean() > 0.98
+        rows.append((f"http://{host}/en/{rng.randrange(999)}", host, "/en/1", host[-3:], 10, int(bad), rng.randrange(1 << 60)))
+    frame = pd.DataFrame(rows, columns=["url", "host", "path", "suffix", "suffix_urls", "label", "order"])
+    trees, shares = urls.train(frame[:1000])
+    found = trees.probability(urls.features(frame[1000:], shares)) >= 0.5
+    assert (found == frame["label"][1000:].to_numpy(float)).mean() > 0.98
+
+
+def test_url_query_equals_brute_force(spark):
+    """Every page: parts and rules by plain string work, verdicts by walking each tree."""
+    sf = "/root/testdata/sf0.01"
+    pages = table(spark, sf, "pages")
+    got = {r.page_id: r for r in QUERIES["op4_url_filter"](spark, sf).collect()}
+    known = urls.labelled(urls.described(pages.select("page_id", "url", "html")))
+    assert len(known) == pages.count() and set(known.junk) == {0, 1}
+    trees, shares = urls.train(known)
+    assert len(set(trees.feature[np.isfinite(trees.threshold)].tolist())) > 5
+    suffixes = Counter(r.host.rsplit(".", 1)[-1] for r in got.values())
+
+    def score(url, host, path):
+        suffix = host.rsplit(".", 1)[-1]
+        row = pd.DataFrame([(url, host, path, suffix, suffixes[suffix])], columns=["url", "host", "path", "suffix", "suffix_urls"])
+        x = urls.features(row, shares)[0]
+        total = trees.start
+        for feature, threshold, leaf in zip(trees.feature, trees.threshold, trees.leaf, strict=True):
+            at = 0
+            while at < len(feature):
+                at = 2 * at + (2 if x[feature[at]] > threshold[at] else 1)
+            total += leaf[at - len(feature)]
+        return 1 / (1 + np.exp(-total))
+
+    for page in pages.collect():
+        rest = page.url.split("://", 1)[1].split("#")[0].split("?")[0]
+        host, slash, path = rest.partition("/")
+        host = host.lower()
+        fits = [r for r in URL_RULES if (host == r.split("/")[0] or host.endswith("." + r.split("/")[0])) and (slash + path).startswith(r[r.index("/") :])]
+        rule = max(fits, key=len, default=None)
+        r = got[page.page_id]
+        judged = score(page.url, host, slash + path)
+        assert r.score == pytest.approx(judged)
+        assert (r.host, r.path, r.rule, r.verdict) == (host, slash + path, rule, URL_RULES[rule] if rule else "block" if judged > 0.5 else "allow")
+    free = [r for r in got.values() if r.rule is None]
+    unwanted = [any(w in r.host for w in ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm")) for r in free]
+    assert all(r.verdict == "block" for r, u in zip(free, unwanted, strict=True) if u) and any(unwanted)
+    assert np.mean([r.verdict == "allow" for r, u in zip(free, unwanted, strict=True) if not u]) > 0.85
+
+
+def test_url_filter_without_labels_and_beyond_the_bound(spark):
+    nothing = spark.createDataFrame([(1, None), (2, "no url"), (None, "")], "page_id long, url string")
+    assert {(r.verdict, r.score) for r in urls.filter_urls(nothing, {}).collect()} == {("allow", 0.0)}
+    many = spark.range(4000).selectExpr("id AS page_id", "concat('http://', if(id % 4 = 0, 'free-bets', 'news'), '.n', id % 50, '.x/', id) AS url", "'p' AS suffix", "1 AS label")
+    known = urls.labelled(urls.described(many.select("page_id", "url")), 500)
+    assert 250 < len(known) <= 500
+    got = urls.filter_urls(many, {}, fit_rows=500).collect()
+    assert len(got) == 4000
+    assert np.mean([(r.verdict == "block") == ("free-bets" in r.host) for r in got]) > 0.95
 
 
 def lcs(a, b):
