@@ -52,10 +52,10 @@ class Config:
     window: int = 32
     streams: int = 256  # texts side by side in training, at most
     steps: int = 300  # a trainer's aim in a round; with fewer words it has fewer texts side by side
-    rounds: int = 4  # a pass learns from each training document in one of them
+    rounds: int = 2  # a pass learns from each training document in one of them
     pass_words: int = 2_000_000  # a smaller corpus has as many passes as reach this, up to most_passes
     most_passes: int = 4
-    trainer_words: int = 1_000_000  # for each trainer and round
+    trainer_words: int = 2_000_000  # for each trainer and round
     most_trainers: int = 4096  # beyond, each trainer reads more
     rate: float = 0.02
     seed: int = 7

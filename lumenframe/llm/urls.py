@@ -20,10 +20,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from lumenframe.llm import html, quality
-from lumenframe.llm.common import host_of, path_of, small
+from lumenframe.llm.common import cut, host_of, path_of, small
 
 #: Words of host labels that mark a URL as unwanted.
 UNWANTED = ("ads", "adult", "bets", "casino", "cheap", "pills", "porn", "spam", "track", "viagra", "warez", "xxx")
+BROADCAST_SUFFIXES = 100_000
 #: At most so many labelled rows fit the trees; they are chosen by hash.
 FIT_ROWS = 20_000
 
@@ -140,16 +141,16 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = 40, depth: int = 3, rate: fl
     return Trees(start, depth, *map(np.array, zip(*forest, strict=True)))
 
 
-def described(urls: DataFrame) -> DataFrame:
-    """urls (page_id, url, and others) with host, path, suffix and the number of rows of the same suffix.
-
-    Counts are aggregated before they move; the join on the suffix is one that the
-    planner may split or, for a small count table, broadcast.
-    """
+def parts(urls: DataFrame) -> DataFrame:
+    """urls (url, and others) with host, path and suffix."""
     rows = urls.withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
-    rows = rows.withColumn("suffix", F.substring_index("host", ".", -1))
-    counts = rows.groupBy("suffix").agg(F.count("*").alias("suffix_urls"))
-    return rows.join(counts, "suffix")
+    return rows.withColumn("suffix", F.substring_index("host", ".", -1))
+
+
+def suffix_counts(urls: DataFrame) -> DataFrame:
+    """(suffix, suffix_urls) as a written table; up to BROADCAST_SUFFIXES of them reach every task, so that no row moves for a join. Beyond, the planner joins as it likes, with the same result."""
+    counts = cut(parts(urls.select("url")).groupBy("suffix").agg(F.count("*").alias("suffix_urls")), "suffixes")
+    return F.broadcast(counts) if counts.count() <= BROADCAST_SUFFIXES else counts
 
 
 def listed(host: Column) -> Column:
@@ -172,22 +173,22 @@ def junk(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def labelled(pages: DataFrame, fit_rows: int = FIT_ROWS) -> pd.DataFrame:
-    """url, host, path, suffix, label of at most fit_rows pages, by a hash of URL and id.
+def labelled(pages: DataFrame, counts: DataFrame, fit_rows: int = FIT_ROWS) -> pd.DataFrame:
+    """url, host, path, suffix, suffix_urls, label of at most fit_rows pages, by a hash of URL and id.
 
     label: 1 for pages of listed hosts and for junk pages, else 0. fit_rows bounds
     what reaches the driver: pages pass whose hash lies in the share that fit_rows is
     of all pages with a host, less a margin for chance.
     """
-    with_host = pages.where("host <> ''")
+    with_host = parts(pages).where("host <> ''")
     total = with_host.count()
     share = min(1.0, max(fit_rows - 5 * math.sqrt(fit_rows), 1) / max(total, 1)) if total > fit_rows else 1.0
     order = F.xxhash64("url", "page_id")
     chosen = with_host.withColumn("order", order).where(F.pmod("order", F.lit(1 << 30)) < int(share * (1 << 30)))
-    kept = ["url", "host", "path", "suffix", "suffix_urls", "order"]
+    kept = ["url", "host", "path", "suffix", "order"]
     chosen = chosen.select(*kept, listed(F.col("host")).alias("listed"), *(["html"] if "html" in pages.columns else []))
     chosen = junk(chosen) if "html" in pages.columns else chosen.withColumn("junk", F.lit(0))
-    found = chosen.select(*kept, F.greatest("listed", F.coalesce("junk", F.lit(0))).alias("label"), "junk").toPandas()
+    found = chosen.join(counts, "suffix").select(*kept, "suffix_urls", F.greatest("listed", F.coalesce("junk", F.lit(0))).alias("label"), "junk").toPandas()
     return found.sort_values(["order", "url"], kind="stable").reset_index(drop=True)
 
 
@@ -217,9 +218,10 @@ def filter_urls(pages: DataFrame, rules: dict[str, str], threshold: float = 0.5,
     are equal the score is near them. An empty table gives no rows. Other columns are not read.
     """
     columns = [F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url")]
-    rows = described(pages.select(*columns))
+    counts = suffix_counts(pages.select(*columns))
+    rows = parts(pages.select(*columns)).join(counts, "suffix")
     with_html = pages.select(*columns, F.col("html").cast("string").alias("html")) if "html" in pages.columns else pages.select(*columns)
-    known = labelled(described(with_html), fit_rows)
+    known = labelled(with_html, counts, fit_rows)
     trees, shares = train(known) if len(known) else (None, {})
     shared = pages.sparkSession.sparkContext.broadcast((trees, shares))
 

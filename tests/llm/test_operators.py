@@ -425,7 +425,7 @@ def test_url_query_equals_brute_force(spark):
     sf = "/root/testdata/sf0.01"
     pages = table(spark, sf, "pages")
     got = {r.page_id: r for r in QUERIES["op4_url_filter"](spark, sf).collect()}
-    known = urls.labelled(urls.described(pages.select("page_id", "url", "html")))
+    known = urls.labelled(pages.select("page_id", "url", "html"), urls.suffix_counts(pages))
     assert len(known) == pages.count() and set(known.junk) == {0, 1}
     trees, shares = urls.train(known)
     assert len(set(trees.feature[np.isfinite(trees.threshold)].tolist())) > 5
@@ -459,11 +459,13 @@ def test_url_query_equals_brute_force(spark):
     assert np.mean([r.verdict == "allow" for r, u in zip(free, unwanted, strict=True) if not u]) > 0.85
 
 
-def test_url_filter_without_labels_and_beyond_the_bound(spark):
+@pytest.mark.parametrize("most", [urls.BROADCAST_SUFFIXES, 0])
+def test_url_filter_without_labels_and_beyond_the_bound(spark, monkeypatch, most):
+    monkeypatch.setattr(urls, "BROADCAST_SUFFIXES", most)
     nothing = spark.createDataFrame([(1, None), (2, "no url"), (None, "")], "page_id long, url string")
     assert {(r.verdict, r.score) for r in urls.filter_urls(nothing, {}).collect()} == {("allow", 0.0)}
     many = spark.range(4000).selectExpr("id AS page_id", "concat('http://', if(id % 4 = 0, 'free-bets', 'news'), '.n', id % 50, '.x/', id) AS url", "'p' AS suffix", "1 AS label")
-    known = urls.labelled(urls.described(many.select("page_id", "url")), 500)
+    known = urls.labelled(many.select("page_id", "url"), urls.suffix_counts(many), 500)
     assert 250 < len(known) <= 500
     got = urls.filter_urls(many, {}, fit_rows=500).collect()
     assert len(got) == 4000
