@@ -41,10 +41,10 @@ def throttled(progress: DataFrame, least_ms: int = 100) -> DataFrame:
     return ordered.select("session", F.explode(kept).alias("r")).select("session", "r.*")
 
 
-def changes(rows: DataFrame, key: str, by: str, order: list[str], value: Column) -> DataFrame:
+def changes(rows: DataFrame, by: str, order: list[str], value: Column) -> DataFrame:
     """Rows whose value differs from the one before; the first counts unless it is null."""
     before = F.lag(value).over(Window.partitionBy(by).orderBy(*order))
-    return rows.where("true").withColumn("_before", before).where(~F.col("_before").eqNullSafe(value)).drop("_before")
+    return rows.withColumn("_before", before).where(~F.col("_before").eqNullSafe(value)).drop("_before")
 
 
 STATE = "struct<view:string,job:bigint,stage:string,png:boolean,model:string,fell_back:boolean>"

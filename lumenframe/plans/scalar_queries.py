@@ -9,7 +9,7 @@ from lumenframe.functions import geometry as G
 from lumenframe.functions import headers as H
 from lumenframe.functions import names as N
 from lumenframe.functions import sizing as S
-from lumenframe.functions.numeric import clamp, micro, unsigned
+from lumenframe.functions.numeric import clamp, micro, signed32, unsigned
 from lumenframe.operators import jobs as J
 from lumenframe.plans import sql as Q
 from lumenframe.plans.registry import query
@@ -76,7 +76,7 @@ def _resize_sql(corner: str, dx: float, dy: float, least: float, ratio: float |
     west, north = "w" in corner, "n" in corner
     w = Q.clamp(f"-(x + {dx} - (x + w))" if west else f"x + w + {dx} - x", "0.0", "rw")
     h = Q.clamp(f"-(y + {dy} - (y + h))" if north else f"y + h + {dy} - y", "0.0", "rh")
-    base = f"a AS (SELECT *, {'x + w' if west else 'x'} AS ax, {'y + h' if north else 'y'} AS ay, {'x + w' if west else '1 - x'} AS rw, {'y + h' if north else '1 - y'} AS rh FROM rects WHERE x < 1 AND y < 1), b AS (SELECT *, {w} AS w1, {h} AS h1 FROM a)"
+    base = f"a AS (SELECT *, {'x + w' if west else 'x'} AS ax, {'y + h' if north else 'y'} AS ay, {'x + w' if west else '1 - x'} AS rw, {'y + h' if north else '1 - y'} AS rh FROM rects), b AS (SELECT *, {w} AS w1, {h} AS h1 FROM a)"
     if ratio:
         base += f", d AS (SELECT * EXCLUDE (w1, h1), CASE WHEN w1 / {ratio} > h1 THEN w1 ELSE h1 * {ratio} END AS w1, CASE WHEN w1 / {ratio} > h1 THEN w1 / {ratio} ELSE h1 END AS h1 FROM b)"
         base += ", e AS (SELECT * EXCLUDE (w1, h1), w1 * s AS w1, h1 * s AS h1 FROM (SELECT *, least(1.0, CASE WHEN w1 <> 0 THEN rw / w1 END, CASE WHEN h1 <> 0 THEN rh / h1 END) AS s FROM d))"
@@ -88,7 +88,7 @@ def _resize_sql(corner: str, dx: float, dy: float, least: float, ratio: float |
 
 def _resize_query(name: str, corner: str, dx: float, dy: float, least: float, ratio: float | None):
     def run(spark, sf_dir):
-        return _rect_micro(B.rects(spark, sf_dir).where("r.x < 1 and r.y < 1"), G.resized(c("r"), corner, F.lit(dx), F.lit(dy), least, ratio))
+        return _rect_micro(B.rects(spark, sf_dir), G.resized(c("r"), corner, F.lit(dx), F.lit(dy), least, ratio))
 
     run.__name__ = name
     query(_resize_sql(corner, dx, dy, least, ratio))(run)
@@ -206,8 +206,9 @@ def a06_largest_area(spark, sf_dir):
 
 # --- headers ----------------------------------------------------------------
 
-_WHICH = "((width + height) / 200)::INT % 6"
-_KIND = f"CASE {_WHICH} WHEN 0 THEN 'png' WHEN 1 THEN 'gif' WHEN 2 THEN 'bmp' WHEN 5 THEN 'avif' ELSE 'webp' END"
+_WHICH = "((width + height) / 200)::INT % 9"
+_KIND = f"CASE {_WHICH} WHEN 0 THEN 'png' WHEN 1 THEN 'gif' WHEN 2 THEN 'bmp' WHEN 5 THEN 'avif' WHEN 6 THEN 'jpeg' WHEN 7 THEN 'heic' ELSE 'webp' END"
+_TOLD = ", ".join(f"CASE {_WHICH} WHEN 4 THEN {v} & 16383 WHEN 8 THEN (({v} - 1) & 16383) + 1 ELSE {v} END AS {v}" for v in ("width", "height"))
 
 
 @query(f"WITH {Q.SIZES} SELECT {K}, {_KIND} AS kind FROM sizes")
@@ -215,39 +216,39 @@ def f01_sniff(spark, sf_dir):
     return B.headers(B.sizes(spark, sf_dir)).select(*KEY, H.image_format(c("content")).alias("kind"))
 
 
-def _sized_query(name: str, kind: str, cap: str):
+def _sized_query(name: str, kinds: tuple[str, ...]):
+    """Sizes of all files; files of other kinds have none."""
+
     def run(spark, sf_dir):
-        rows = B.headers(B.sizes(spark, sf_dir)).where(c("kind") == kind)
-        return rows.select(*KEY, H.image_size(c("content"), c("kind")).alias("s")).select(*KEY, "s.*")
+        rows = B.headers(B.sizes(spark, sf_dir)).withColumn("s", F.when(c("kind").isin(*kinds), H.image_size(c("content"), c("kind"))))
+        return rows.select(*KEY, "s.*")
 
     run.__name__ = name
-    query(f"WITH {Q.SIZES} SELECT {K}, CASE WHEN {_WHICH} = 4 THEN width & 16383 ELSE width END AS width, CASE WHEN {_WHICH} = 4 THEN height & 16383 ELSE height END AS height FROM sizes WHERE {_KIND} = '{kind}'")(run)
+    listed = ", ".join(f"'{k}'" for k in kinds)
+    query(f"WITH {Q.SIZES}, told AS (SELECT {K}, {_KIND} AS kind, {_TOLD} FROM sizes) SELECT {K}, CASE WHEN kind IN ({listed}) THEN width END AS width, CASE WHEN kind IN ({listed}) THEN height END AS height FROM told")(run)
 
 
-for _name, _kind in (("f02_png_size", "png"), ("f02_gif_size", "gif"), ("f02_bmp_size", "bmp"), ("f04_webp_size", "webp"), ("f05_boxed_size", "avif")):
-    _sized_query(_name, _kind, "")
+for _name, _kinds in (("f02_png_size", ("png",)), ("f02_gif_size", ("gif",)), ("f02_bmp_size", ("bmp",)), ("f03_jpeg_size", ("jpeg",)), ("f04_webp_size", ("webp",)), ("f05_boxed_size", ("avif", "heic"))):
+    _sized_query(_name, _kinds)
 
 
-@query(f"WITH {Q.SIZES} SELECT {K}, {_KIND} AS format, CASE WHEN {_WHICH} = 4 THEN width & 16383 ELSE width END AS width, CASE WHEN {_WHICH} = 4 THEN height & 16383 ELSE height END AS height FROM sizes")
+@query(f"WITH {Q.SIZES} SELECT {K}, {_KIND} AS format, {_TOLD} FROM sizes")
 def f06_inspect(spark, sf_dir):
     rows = B.headers(B.sizes(spark, sf_dir)).select(*KEY, H.header(c("content")).alias("b")).withColumn("format", H.image_format(c("b")))
     return rows.select(*KEY, "format", H.image_size(c("b"), c("format")).alias("s")).select(*KEY, "format", "s.*")
 
 
-@query(f"WITH {Q.SIZES} SELECT {K}, width % 65536 AS le16, height AS be32 FROM sizes WHERE {_KIND} IN ('png')")
-def x10_byte_readers(spark, sf_dir):
-    rows = B.headers(B.sizes(spark, sf_dir)).where("kind = 'png'")
-    low = unsigned(c("content"), 18, 2)
-    return rows.select(*KEY, low.alias("le16"), unsigned(c("content"), 20, 4).alias("be32"))
+_BYTES = "(width * 1000003 + height * 4099)"
+_byte = lambda k: f"(({_BYTES} >> {8 * (7 - k)}) & 255)"
 
 
-@query()
-def f03_jpeg_size(spark, sf_dir):
-    """Frames of synthetic JPEG headers of the tables' sizes."""
-    hexed = lambda v: F.lpad(F.hex(v), 4, "0")
-    small = B.sizes(spark, sf_dir)
-    content = F.unhex(F.concat(F.lit("FFD8FFE000104A46494600010100000100010000FFC0001108"), hexed(c("height") % 65535 + 1), hexed(c("width") % 65535 + 1), F.lit("0301220002110103110100000000")))
-    return small.select(*KEY, content.alias("b")).select(*KEY, H.jpeg_size(c("b")).alias("s")).select(*KEY, "s.*")
+@query(f"""WITH {Q.SIZES} SELECT {K}, {_byte(4)} * 256 + {_byte(5)} AS be16, {_byte(4)} + {_byte(5)} * 256 AS le16, {_byte(5)} + {_byte(6)} * 256 + {_byte(7)} * 65536 AS le24,
+    {_BYTES} % 4294967296 AS be32, CASE WHEN {_byte(7)} >= 128 THEN -4294967296 ELSE 0 END + {_byte(4)} + {_byte(5)} * 256 + {_byte(6)} * 65536 + {_byte(7)} * 16777216 AS signed_le32 FROM sizes""")
+def x10_byte_readers(spark, sf_dir):
+    """All readers on the eight bytes of a number of every row."""
+    rows = B.sizes(spark, sf_dir).withColumn("b", F.unhex(F.lpad(F.hex(c("width") * 1000003 + c("height") * 4099), 16, "0")))
+    read = {"be16": unsigned(c("b"), 4, 2), "le16": unsigned(c("b"), 4, 2, True), "le24": unsigned(c("b"), 5, 3, True), "be32": unsigned(c("b"), 4, 4), "signed_le32": signed32(unsigned(c("b"), 4, 4, True))}
+    return rows.select(*KEY, *[v.alias(k) for k, v in read.items()])
 
 
 # --- files and names --------------------------------------------------------
@@ -265,9 +266,12 @@ def s14_x08_sha256(spark, sf_dir):
     return B.files(spark, sf_dir).select("page_id", F.sha2("content", 256).alias("sha256"), F.octet_length("content").alias("n"))
 
 
-@query(f"WITH {Q.FILES} SELECT page_id, least(n, 1000) AS n FROM files")
+@query(f"WITH {Q.FILES} SELECT page_id, least(n * 200, 524288)::BIGINT AS n, n * 200 > 524288 AS cut FROM files")
 def s05_header_read(spark, sf_dir):
-    return B.files(spark, sf_dir).select("page_id", F.octet_length(F.substring("content", 1, 1000)).alias("n"))
+    """Files of 200 times each page's bytes, most of them longer than a header."""
+    rows = B.files(spark, sf_dir).select("page_id", F.octet_length("content").alias("one"), F.encode(F.repeat(F.decode("content", "UTF-8"), F.lit(200)), "UTF-8").alias("content"))
+    n = F.octet_length(H.header(c("content"))).cast("long")
+    return rows.select("page_id", n.alias("n"), (n < c("one") * 200).alias("cut"))
 
 
 _STRIP = [("'\\.[A-Za-z0-9]{1,5}$'", "''"), ("'[\\x00-\\x1f\\x7f]'", "'-'"), ("'[<>:\"/\\\\|?*]+'", "'-'"), ("'\\s+'", "'-'"), ("'-{2,}'", "'-'"), ("'^[-.\\s]+|[-.\\s]+$'", "''")]
@@ -327,7 +331,7 @@ def f15_error_code(spark, sf_dir):
     return B.files(spark, sf_dir).select("page_id", N.error_code(d, "decode-failed").alias("code"))
 
 
-@query("SELECT page_id, CASE WHEN page_id % 6 = 0 OR page_id % 4 = 1 THEN 'pass' WHEN page_id % 4 = 2 THEN 'asset' ELSE 'static' END AS route FROM pages WHERE page_id % 4 <> 3 OR TRUE")
+@query("SELECT page_id, CASE WHEN page_id % 6 = 0 OR page_id % 4 = 1 THEN 'pass' WHEN page_id % 4 = 2 THEN 'asset' ELSE 'static' END AS route FROM pages")
 def f21_route(spark, sf_dir):
     scope = "https://app.example.org/"
     url = F.concat(F.lit(scope), F.when(c("page_id") % 4 == 1, "models/").when(c("page_id") % 4 == 2, "assets/").otherwise("x/"), F.regexp_replace("name", "[^a-z]", ""))
@@ -371,7 +375,7 @@ def j05_stale_caches(spark, sf_dir):
 
 # --- parts ------------------------------------------------------------------
 
-_PARTS = "parts AS (SELECT page_id, i::INT AS idx, (encode(html))[i * 1000 + 1 : i * 1000 + 1000] AS part FROM pages, range(0, 1000) t(i) WHERE i * 1000 < octet_length(encode(html))), sized AS (SELECT page_id, idx, octet_length(part)::INT AS size, sha256(part) AS sha256 FROM parts)"
+_PARTS = "parts AS (SELECT page_id, i::INT AS idx, (encode(html))[i * 1000 + 1 : i * 1000 + 1000] AS part FROM (SELECT page_id, html, unnest(range(0, greatest(1, ceil(octet_length(encode(html)) / 1000.0))::BIGINT)) AS i FROM pages)), sized AS (SELECT page_id, idx, octet_length(part)::INT AS size, sha256(part) AS sha256 FROM parts)"
 
 
 def _pieces(spark, sf_dir) -> DataFrame:
@@ -467,7 +471,7 @@ def s04_t04_first_image(spark, sf_dir):
 
 @query(f"WITH {Q.JOBS} SELECT session, job FROM (SELECT *, lag(stage) OVER (PARTITION BY session ORDER BY ts, job) AS p FROM jobs) WHERE p IS DISTINCT FROM stage")
 def w07_on_change(spark, sf_dir):
-    return J.changes(B.jobs(spark, sf_dir), "stage", "session", ["ts", "job"], c("stage")).select("session", "job")
+    return J.changes(B.jobs(spark, sf_dir), "session", ["ts", "job"], c("stage")).select("session", "job")
 
 
 _AT = "epoch_ms(ts) // 864000"

@@ -64,9 +64,9 @@ def _big(v: Column, n: int) -> Column:
 
 
 def headers(df: DataFrame) -> DataFrame:
-    """width, height -> also kind and content: header bytes of six kinds that tell that size, by width + height modulo 6.
+    """width, height -> also kind and content: header bytes of nine kinds that tell that size, by width + height modulo 9.
 
-    Sizes of lossy WebP have 14 bits, those of GIF 16.
+    Sizes of plain WebP, lossy or not, have 14 bits, those of GIF and JPEG 16.
     """
     w, h = F.col("width"), F.col("height")
     text = lambda s: F.lit(s.encode().hex())
@@ -77,11 +77,16 @@ def headers(df: DataFrame) -> DataFrame:
     vp8x = F.concat(text("RIFF"), zero(4), text("WEBPVP8X"), zero(8), _little(w - 1, 3), _little(h - 1, 3))
     vp8 = F.concat(text("RIFF"), zero(4), text("WEBPVP8 "), zero(10), _little(w.bitwiseAND(F.lit(0x3FFF).cast("long")), 2), _little(h.bitwiseAND(F.lit(0x3FFF).cast("long")), 2))
     avif = F.concat(_big(F.lit(20), 4), text("ftypmif1"), zero(4), text("avif"), _big(F.lit(20), 4), text("ispe"), zero(4), _big(w, 4), _big(h, 4))
-    kinds = ["png", "gif", "bmp", "webp", "webp", "avif"]
-    which = (w + h) / 200 % 6
+    heic = F.concat(_big(F.lit(24), 4), text("ftypmif1"), zero(4), text("miafheic"), _big(F.lit(20), 4), text("ispe"), zero(4), _big(F.lit(160), 4), _big(F.lit(120), 4), _big(F.lit(20), 4), text("ispe"), zero(4), _big(w, 4), _big(h, 4))
+    # a fill byte, a restart marker, a comment that holds a frame's bytes, then the frame
+    jpeg = F.concat(F.lit("FFD8FFE000104A46494600010100000100010000FFFFD0FFFE000BFFC000110800010001"), F.lit("FFC2001108"), _big(h, 2), _big(w, 2), F.lit("03012200021101031101"), zero(4))
+    low = lambda v: (v - 1).bitwiseAND(F.lit(0x3FFF).cast("long"))
+    vp8l = F.concat(text("RIFF"), zero(4), text("WEBPVP8L"), zero(4), F.lit("2F"), _little(low(w) + F.shiftleft(low(h), 14), 4))
+    kinds = ["png", "gif", "bmp", "webp", "webp", "avif", "jpeg", "heic", "webp"]
+    which = (w + h) / 200 % 9
     df = df.withColumn("_which", which.cast("int"))
     pick = lambda values: F.element_at(F.array(*values), F.col("_which") + 1)
-    return df.withColumn("kind", pick([F.lit(k) for k in kinds])).withColumn("content", F.unhex(pick([png, gif, bmp, vp8x, vp8, avif]))).drop("_which")
+    return df.withColumn("kind", pick([F.lit(k) for k in kinds])).withColumn("content", F.unhex(pick([png, gif, bmp, vp8x, vp8, avif, jpeg, heic, vp8l]))).drop("_which")
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
