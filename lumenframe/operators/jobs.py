@@ -41,6 +41,29 @@ def throttled(progress: DataFrame, least_ms: int = 100) -> DataFrame:
     return ordered.select("session", F.explode(kept).alias("r")).select("session", "r.*")
 
 
+def serial(jobs: DataFrame) -> DataFrame:
+    """When jobs (session, job, arrival, work) run if each session does one at a time, by arrival and job: also started and finished.
+
+    A job finishes with all work up to it, after the latest of the arrivals that had
+    to wait for nothing: the running maximum of arrival less the work before it. So
+    running sums and maxima do, and the planner may split nothing but sessions.
+    """
+    order = Window.partitionBy("session").orderBy("arrival", "job").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    done = jobs.withColumn("_done", F.sum("work").over(order))
+    idle = F.max(F.col("arrival") - (F.col("_done") - F.col("work"))).over(order)
+    finished = done.withColumn("finished", F.col("_done") + idle)
+    return finished.withColumn("started", F.col("finished") - F.col("work")).drop("_done")
+
+
+def download_progress(pieces: DataFrame, key: str) -> DataFrame:
+    """Rows of a byte stream's progress: key, idx, loaded, percent, for the parts (idx, size) at which the whole percentage changes."""
+    whole = Window.partitionBy(key)
+    so_far = whole.orderBy("idx").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = pieces.select(key, "idx", F.sum("size").over(so_far).cast("long").alias("loaded"), F.sum("size").over(whole).alias("_total"))
+    rows = rows.withColumn("percent", F.least(F.lit(100), F.floor(F.try_divide(F.col("loaded") * 100, F.col("_total")))).cast("int"))
+    return changes(rows, key, ["idx"], F.col("percent")).drop("_total")
+
+
 def changes(rows: DataFrame, by: str, order: list[str], value: Column) -> DataFrame:
     """Rows whose value differs from the one before; the first counts unless it is null."""
     before = F.lag(value).over(Window.partitionBy(by).orderBy(*order))

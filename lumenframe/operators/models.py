@@ -55,7 +55,7 @@ def fill_cache(pieces: DataFrame, path: str) -> None:
     """Write parts that the cache at path lacks; a part that is there stays."""
     spark = pieces.sparkSession
     have = open_store(spark, path, "sha256 string, part binary, size int")
-    pieces.select("sha256", "part", "size").dropDuplicates(["sha256"]).join(have.select("sha256"), "sha256", "left_anti").write.mode("append").parquet(path)
+    to_cache(pieces, have).write.mode("append").parquet(path)
 
 
 def open_store(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -127,6 +127,28 @@ def onnx_runner(content: bytes, input_name: str):
     return make
 
 
+def with_cached(fresh: DataFrame, cached: DataFrame, key: str, value: str) -> DataFrame:
+    """key, value, from_cache: what was read afresh, else what the cache holds."""
+    both = fresh.select(key, F.col(value).alias("_fresh")).join(cached.select(key, F.col(value).alias("_cached")), key, "full")
+    return both.select(key, F.coalesce("_fresh", "_cached").alias(value), F.col("_fresh").isNull().alias("from_cache"))
+
+
+def to_cache(pieces: DataFrame, have: DataFrame) -> DataFrame:
+    """Parts (sha256, part, size) that the cache lacks, each once."""
+    return pieces.select("sha256", "part", "size").dropDuplicates(["sha256"]).join(have.select("sha256").distinct(), "sha256", "left_anti")
+
+
+def attempted(tries: DataFrame, most: int = 3) -> DataFrame:
+    """Of (part, attempt, ok, at): each part's outcome after at most `most` attempts: part, attempts, ok, at of the last one that was made.
+
+    One aggregate for each part, so attempts are added up before they move.
+    """
+    made = tries.where(F.col("attempt") <= most)
+    first = made.groupBy("part").agg(F.min(F.when(F.col("ok"), F.struct("attempt", "at"))).alias("good"), F.max(F.struct("attempt", "at")).alias("last"))
+    end = F.coalesce("good", "last")
+    return first.select("part", end["attempt"].alias("attempts"), F.col("good").isNotNull().alias("ok"), end["at"].alias("at"))
+
+
 def missing_capability(has: dict[str, Column]) -> Column:
     """The first capability that is not there, in the given order; null if all are."""
     out = F.lit(None).cast("string")
@@ -146,6 +168,32 @@ def preview_side(width: Column, height: Column, ratio: Column) -> Column:
     return F.least(F.lit(4096), F.ceil(F.greatest(width, height, F.lit(1280)) * F.least(ratio, F.lit(2.0)))).cast("int")
 
 
+def least_crop(side: Column) -> Column:
+    """Smallest side of a crop as a share of the shown side: 32 points, half of it at most; 0.05 where nothing is shown."""
+    return F.when(side > 0, F.least(F.lit(0.5), 32.0 / side)).otherwise(0.05)
+
+
+def threads(cores: Column, isolated: Column) -> Column:
+    """Threads for a model: all cores but one, from one to eight; one without isolation."""
+    return F.when(isolated, F.greatest(F.lit(1), F.least(F.lit(8), cores - 1))).otherwise(1).cast("int")
+
+
+def translated(keyed: DataFrame, catalog: DataFrame) -> DataFrame:
+    """keyed (locale, key, and others) with text from catalog (locale, key, text); a key that the catalog lacks has none.
+
+    A catalog has some hundred entries, so the planner broadcasts it.
+    """
+    return keyed.join(catalog.select("locale", "key", "text"), ["locale", "key"], "left")
+
+
+def applied_attributes(rows: DataFrame, pairs: str, catalog: DataFrame) -> DataFrame:
+    """rows with locale and `pairs` (attr:key;attr:key) -> one row for each attribute whose key the catalog has: all columns, attribute, key, text."""
+    split = F.transform(F.split(pairs, ";"), lambda x: F.transform(F.split(x, ":"), lambda y: F.trim(y)))
+    whole = F.filter(split, lambda x: (F.size(x) >= 2) & (F.get(x, F.lit(0)) != "") & (F.get(x, F.lit(1)) != ""))
+    each = rows.withColumn("_pair", F.explode(whole)).withColumn("attribute", F.get("_pair", F.lit(0))).withColumn("key", F.get("_pair", F.lit(1))).drop("_pair")
+    return translated(each, catalog).where("text is not null")
+
+
 def attribute_keys(text: Column) -> Column:
     """attr:key;attr:key -> map."""
     return F.str_to_map(text, F.lit(";"), F.lit(":"))
@@ -202,6 +250,22 @@ def deformed(plane: np.ndarray, at_x: np.ndarray, at_y: np.ndarray, mask: np.nda
     return out * mask
 
 
+def deformed_plane(plane: Column, width: int, height: int, dx: Column, dy: Column, mask: Column) -> Column:
+    """The same for planes as array columns: each pixel is read at its place plus (dx, dy), between its four neighbours, times mask."""
+
+    def one(p: Column) -> Column:
+        at_x, at_y = p % width + F.get(dx, p), F.floor(p / width) + F.get(dy, p)
+        x0, y0 = F.floor(at_x), F.floor(at_y)
+        total = F.lit(0.0)
+        for i, j in ((0, 0), (1, 0), (0, 1), (1, 1)):
+            x, y = x0 + i, y0 + j
+            inside = x.between(0, width - 1) & y.between(0, height - 1)
+            total = total + F.when(inside, F.get(plane, (y * width + x).cast("int")) * (1 - F.abs(at_x - x)) * (1 - F.abs(at_y - y))).otherwise(0.0)
+        return total * F.get(mask, p)
+
+    return F.transform(F.sequence(F.lit(0), F.lit(width * height - 1)), one)
+
+
 def half_floats(values: np.ndarray) -> np.ndarray:
     """As 16-bit floats; larger than 60000 does not fit well and is refused."""
     if np.abs(values).max(initial=0) > 60000:
