@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -30,16 +31,42 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        found = _local_dir()
     return found.rstrip("/")
 
 
+@functools.cache
+def _local_dir() -> str:
+    """One folder for each process that runs Spark locally without a shared one."""
+    return "file://" + tempfile.mkdtemp(prefix="shared-")
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """df as a written table in the shared folder: nothing before it is computed again."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    try:
+        df.write.parquet(path)
+    except Exception:
+        _delete(df.sparkSession, path)
+        raise
+    return written(df.sparkSession.read.schema(df.schema).parquet(path), path)
+
+
+def written(df: DataFrame, path: str | None) -> DataFrame:
+    """df with the place of the table that it reads, for discard."""
+    df._written = path
+    return df
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the table that `cut` wrote for df. Only after another table has been written from it and nothing else will read it: a lost executor's work then begins at that one."""
+    if path := getattr(df, "_written", None):
+        _delete(df.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def release(spark: SparkSession) -> None:
@@ -148,7 +175,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     Alternates large-star and small-star steps, each a minimum for each node with
     partial aggregation and a join that the adaptive planner may split, so a node
     with very many edges is never gathered in one task. Rounds end in written
-    tables, until two equal ones follow each other. Edges with a null are left out.
+    tables, until two equal ones follow each other; each is deleted after the next. Edges with a null are left out.
     """
     at = cut(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a != b").distinct(), name)
     seen = None
@@ -159,8 +186,9 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         top = large.groupBy("a").agg(F.min("b").alias("m"))
         joined = large.join(top, "a")
         small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").union(joined.select("a", F.col("m").alias("b"))).distinct()
-        at = cut(small, name)
+        before, at = at, cut(small, name)
+        discard(before)
         now = at.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == seen:
-            return at.select(F.col("a").alias("node"), F.col("b").alias("component")).union(at.select("b", "b").distinct())
+            return written(at.select(F.col("a").alias("node"), F.col("b").alias("component")).union(at.select("b", "b").distinct()), at._written)
         seen = now

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import U64, byte_rows, components, cut, mix, release, shingle_set, small
+from lumenframe.llm.common import U64, byte_rows, components, cut, discard, mix, release, shingle_set, small
 
 GROUPS = 64
 #: Bits of the filter of documents that share a key; 4 MB, whatever the input. More candidates than that let more texts pass, and the join drops those.
@@ -310,16 +310,19 @@ def jaccard_components(docs: DataFrame, size: int = 3, num: int = 9, den: int =
     release(docs.sparkSession)  # the keys' shuffle is the largest
     dealt = meet.join(sets.select("doc_id", "n", "counts"), "doc_id").select("key", "doc_id", "n", "counts").repartition("key").sortWithinPartitions("key", "n", "doc_id")
     blocks = components(dealt.mapInArrow(bound_rows(num, den), "a long, b long"), "blocks")
+    discard(meet)
     release(docs.sparkSession)
     # only now do texts move, and only those of sets that the bound lets link; equal sets meet too, which does no harm
     many = blocks.groupBy("component").count().withColumn("tiles", F.ceil(F.col("count") / tile).cast("int"))
     tiled = blocks.join(many.select("component", "tiles"), "component").select(F.col("component").alias("block"), F.col("node").alias("rep"), "tiles")
-    tiled = cut(tiled.withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int")), "tiled")
+    tiled = at_tiles = cut(tiled.withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int")), "tiled")
+    discard(blocks)
     texts = likely(docs, tiled.select(F.col("rep").alias("doc_id"))).select(F.col("doc_id").alias("rep"), F.col("text").cast("binary").alias("text"))
     tiled = tiled.join(texts, "rep").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     tiled = tiled.select("block", "rep", "text", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
     links = tiled.groupBy("block", "i", "j").applyInPandas(block_links(size, num, den), "a long, b long")
     found = components(links.union(members), "links")
+    discard(at_tiles)
     own = points.select("doc_id", F.col("n").alias("n_shingles"))
     return own.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
@@ -327,7 +330,9 @@ def jaccard_components(docs: DataFrame, size: int = 3, num: int = 9, den: int =
 def keep_one(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """docs without the documents that are linked to one with a smaller doc_id.
 
-    All columns stay as they are. Documents with no words or a null doc_id stay.
+    All columns stay as they are, whatever their names. Documents with no words or a
+    null doc_id stay; rows that share the doc_id that stays all stay, as they are one
+    document. Texts of any length are read whole. An empty table stays empty.
     """
     found = jaccard_components(docs, size, num, den)
     drop = found.where("component_id < doc_id").select(F.col("doc_id").alias("_drop")).distinct()

@@ -143,7 +143,8 @@ def quality(docs: DataFrame, rules: Rules | None = None) -> DataFrame:
     """One row for each row of docs: the counts, base_failed and kept.
 
     A null text has no words and fails. A line that repeats an earlier one is lost
-    too. A null doc_id stays null. Whole texts are read. Other columns are not.
+    too. A null doc_id stays null; repeated rows give repeated rows; an empty table
+    gives none. Whole texts are read, however long. Other columns are not.
     """
     rules = rules or Rules()
 
@@ -158,7 +159,10 @@ def quality(docs: DataFrame, rules: Rules | None = None) -> DataFrame:
 
 
 def clean(docs: DataFrame, rules: Rules | None = None) -> DataFrame:
-    """The kept documents, in their columns, without their failing lines; n_chars, where it is there, follows the text."""
+    """The kept documents, in their columns, without their failing lines; n_chars, where it is there, follows the text.
+
+    Documents with a null text go, as they fail; repeated rows stay or go together; an empty table stays empty.
+    """
     rules = rules or Rules()
     at = docs.columns.index("text")
 

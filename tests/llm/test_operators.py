@@ -14,7 +14,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from lumenframe.llm import chat, html, jaccard, lm, packing, quality, tiling, tokens, urls, warc
+from lumenframe.llm import chat, common, html, jaccard, lm, packing, quality, tiling, tokens, urls, warc
 from lumenframe.llm.common import components, shingle_set, table
 from lumenframe.llm.queries import ORACLE_SQL, QUERIES, URL_RULES, tokenizer_path
 
@@ -290,6 +290,70 @@ def test_quality_checks_first_what_the_rules_imply():
         assert b"well" not in quality.judge(text, quality.Rules())[1]
 
 
+def brute_quality(text):
+    """The columns that the contract fixes, in plain terms."""
+    space = " \t\n\v\f\r"
+    ws, word = [], ""
+    for ch in (text or "") + " ":
+        if ch in space:
+            ws, word = ws + [word] if word else ws, ""
+        else:
+            word += ch
+    lines, seen, dup = (text or "").split("\n"), set(), 0
+    for line in lines:
+        if line.strip(space):
+            dup += line in seen
+            seen.add(line)
+    windows = Counter(tuple(ws[i : i + 8]) for i in range(len(ws) - 7))
+    marked = {j for i in range(len(ws) - 7) if windows[tuple(ws[i : i + 8])] > 1 for j in range(i, i + 8)}
+    failed = len(ws) < 20 or 100 * len(marked) > 30 * len(ws)
+    return len(ws), sum(map(len, ws)), sum((text or "").count(c) for c in "#*$%&|<>"), dup, len(marked), failed
+
+
+def test_quality_query_equals_brute_force(spark, sf_dir):
+    texts = {r.doc_id: r.text for r in table(spark, sf_dir, "documents").collect()}
+    more = [t for t in NASTY if t is not None] + ["a b c d e f g h " * 3, "x\n\nx\n x\nx ", "\u2003# * \u00a0$"]
+    for k, text in enumerate(more):
+        texts[-1 - k] = text
+    got = {r.doc_id: r for r in quality.quality(docs_of(spark, list(texts.values()), list(texts))).collect()}
+    for k, text in texts.items():
+        r = got[k]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == brute_quality(text)
+        assert not (r.kept and r.base_failed)
+
+
+def test_clashing_columns_stay(spark, sf_dir):
+    """Extra columns with the operators' inner names: they stay where columns stay, and change no result."""
+    names = "_drop key slot tiles range to own left merge fp rep bits hash row node component label number sha ref response suffix order c word".split()
+    docs = table(spark, sf_dir, "documents").limit(60)
+    docs = docs.withColumns({n: F.lit(f"extra {n}") for n in names})
+    plain = docs.select("doc_id", "text")
+    bench = table(spark, sf_dir, "benchmark").withColumns({n: F.lit(1) for n in names})
+    for stage in (quality.clean, jaccard.keep_one, lambda d: tiling.decontaminate(d, bench)):
+        out = stage(docs)
+        assert out.columns == docs.columns
+        kept = out.collect()
+        assert all(r[n] == f"extra {n}" for r in kept for n in names)
+        assert Counter(r.doc_id for r in kept) == Counter(r.doc_id for r in stage(plain).collect())
+    for made in (jaccard.jaccard_components, quality.quality, lm.score_documents, lambda d: tiling.leaks(d, bench), lambda d: packing.pack(d, tokenizer_path("word_bpe_49k.json")), lambda d: tokens.count_tokens(d, tokenizer_path("byte_bpe_50k.json"))):
+        assert made(docs.coalesce(1)).count() == made(plain.coalesce(1)).count()
+    pages = table(spark, sf_dir, "pages").withColumns({n: F.lit(f"extra {n}") for n in names})
+    for made in (warc.archive_round_trip, html.extract, lambda p: urls.filter_urls(p, URL_RULES)):
+        assert made(pages).count() == pages.count()
+
+
+def test_written_tables_are_deleted(spark, tmp_path, monkeypatch):
+    """Components and the near-duplicate steps leave the tables that their result reads, and no others."""
+    monkeypatch.setattr(common, "shared_dir", lambda spark: f"file://{tmp_path}")
+    components(spark.createDataFrame([(k, k + 1) for k in range(20)], "a long, b long"), "chain").count()
+    assert len(list(tmp_path.glob("chain-*"))) == 1
+    jaccard.jaccard_components(docs_of(spark, ["a b c d e"] * 3 + ["a b c d e f g h"] * 2)).count()
+    assert {p.name.split("-")[0] for p in tmp_path.iterdir()} == {"chain", "points", "links"}
+    with pytest.raises(Exception):
+        common.cut(spark.range(3).select(F.raise_error(F.lit("x")).alias("a")), "failed")
+    assert not list(tmp_path.glob("failed-*"))
+
+
 def test_quality_keeps_clean_and_rejects_junk(spark):
     clean = " ".join(f"Sentence number {k} says something new about topic {k * 7}." for k in range(12))
     table_ = "\n".join(" | ".join(f"cell{k}{j}" for j in range(8)) for k in range(10))
