@@ -6,6 +6,7 @@
    shingles by which linked sets of such a size may differ; so linked sets are
    equal in one part, and only points with an equal part meet. A document sends
    few 8-byte keys, not its text.
+   Of parts that the same points hold one is enough.
 3. Points that meet are bounded: the sum of the smaller coordinates is at least
    their overlap. Points that the bound lets link form blocks.
 4. In a block, a bulk-loaded R-tree over the count vectors bounds each set against
@@ -19,6 +20,7 @@ tiles, and each pair of tiles is one task.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 from collections.abc import Iterator
@@ -130,6 +132,26 @@ def folded(vectors: list[bytes], groups: int) -> np.ndarray:
     return out
 
 
+_LOW8, _LOW16 = U64(0x00FF00FF00FF00FF), U64(0x0000FFFF0000FFFF)
+
+
+def packed(points: np.ndarray) -> np.ndarray:
+    """Points as bytes, eight to a word, if all counts fit and sums of 1024 groups stay in 16 bits; else as they are."""
+    return points.astype(np.uint8) if len(points) and points.shape[1] <= 1024 and points.shape[1] % 8 == 0 and points.max() < 256 else points
+
+
+def overlap_bounds(points: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sums of the smaller coordinates of points a and b."""
+    if points.dtype != np.uint8:
+        return np.minimum(points[a], points[b]).sum(axis=1, dtype=np.int64)
+    least = np.take(points, a, axis=0)
+    words = np.minimum(least, np.take(points, b, axis=0), out=least).view(U64)
+    pairs = (words & _LOW8) + ((words >> U64(8)) & _LOW8)  # four sums of two bytes in each word
+    total = functools.reduce(np.add, (pairs[:, k] for k in range(pairs.shape[1])))
+    total = (total & _LOW16) + ((total >> U64(16)) & _LOW16)
+    return ((total & U64(0xFFFFFFFF)) + (total >> U64(32))).astype(np.int64)
+
+
 def bounded_pairs(key: np.ndarray, doc: np.ndarray, n: np.ndarray, vectors: list[bytes], num: int, den: int) -> np.ndarray:
     """Edges (a, b) that connect what the overlap bound allows to link among rows of equal key; rows come by key."""
     first = np.r_[True, key[1:] != key[:-1]]
@@ -141,7 +163,7 @@ def bounded_pairs(key: np.ndarray, doc: np.ndarray, n: np.ndarray, vectors: list
     edges = []
     for groups in np.unique(shortest):
         rows = np.flatnonzero(shortest == groups)
-        points = folded([vectors[k] for k in rows], int(groups))
+        points = packed(folded([vectors[k] for k in rows], int(groups)))
         end = np.searchsorted(rows, ends[group[rows]])
         size, label = n[rows], np.arange(len(rows))
         left = np.arange(len(rows))
@@ -149,10 +171,10 @@ def bounded_pairs(key: np.ndarray, doc: np.ndarray, n: np.ndarray, vectors: list
         while len(left := left[left + step < end[left]]):
             i = left[label[left] != label[left + step]]
             i = i[np.minimum(size[i], size[i + step]) * den >= num * np.maximum(size[i], size[i + step])]
-            for low in range(0, len(i), 1 << 15):
-                a = i[low : low + (1 << 15)]
+            for low in range(0, len(i), 1 << 12):  # as many as stay in the processor's cache
+                a = i[low : low + (1 << 12)]
                 b = a + step
-                ok = np.minimum(points[a], points[b]).sum(axis=1, dtype=np.int64) * (num + den) >= num * (size[a] + size[b])
+                ok = overlap_bounds(points, a, b) * (num + den) >= num * (size[a] + size[b])
                 a, b = a[ok], b[ok]
                 edges.append(np.stack([doc[rows[a]], doc[rows[b]]]))
                 for x, y in zip(label[a].tolist(), label[b].tolist(), strict=True):
@@ -194,6 +216,15 @@ def bound_rows(num: int, den: int):
     return run
 
 
+def _holder_marks() -> list:
+    """Numbers whose sums over a key's rows tell who holds it: how many, and 128 bits of hashes in four halves that do not overflow."""
+    halves = []
+    for seed in (1, 2):
+        h = F.xxhash64("doc_id", F.lit(seed))
+        halves += [h.bitwiseAND(F.lit((1 << 32) - 1)), F.shiftrightunsigned(h, 32)]
+    return [F.lit(1).cast("long"), *halves]
+
+
 def _slot(doc_id):
     return F.pmod(F.xxhash64(doc_id), F.lit(FILTER_BITS))
 
@@ -306,9 +337,13 @@ def jaccard_components(docs: DataFrame, size: int = 3, num: int = 9, den: int =
     # keys of the different sets, and of those the ones that several have
     rows = likely(docs, reps.select(F.col("rep").alias("doc_id")), key_rows(size, num, den), "key long, doc_id long")
     of_key = Window.partitionBy("key")
-    meet = cut(rows.select("key", "doc_id", (F.min("doc_id").over(of_key) < F.max("doc_id").over(of_key)).alias("_many")).where("_many").select("key", "doc_id"), "keys")
+    meet = rows.select("key", "doc_id", (F.min("doc_id").over(of_key) < F.max("doc_id").over(of_key)).alias("_many")).where("_many")
+    meet = cut(meet.select("key", "doc_id", *[F.sum(x).over(of_key).alias(f"held{k}") for k, x in enumerate(_holder_marks())]), "keys")
     release(docs.sparkSession)  # the keys' shuffle is the largest
-    dealt = meet.join(sets.select("doc_id", "n", "counts"), "doc_id").select("key", "doc_id", "n", "counts").repartition("key").sortWithinPartitions("key", "n", "doc_id")
+    # two sets mostly share many keys; of keys that the same documents hold one is enough
+    one = meet.groupBy(*[x for x in meet.columns if x.startswith("held")]).agg(F.min("key").alias("key"))
+    dealt = meet.select("key", "doc_id").join(one.select("key"), "key", "left_semi")
+    dealt = dealt.join(sets.select("doc_id", "n", "counts"), "doc_id").select("key", "doc_id", "n", "counts").repartition("key").sortWithinPartitions("key", "n", "doc_id")
     blocks = components(dealt.mapInArrow(bound_rows(num, den), "a long, b long"), "blocks")
     discard(meet)
     release(docs.sparkSession)

@@ -86,6 +86,14 @@ def test_keep_one_keeps_columns_and_clean_documents(spark):
     assert sorted(r.doc_id for r in out.collect()) == [0, 3, 4]
 
 
+def test_overlap_bounds_of_packed_points():
+    rng = np.random.default_rng(5)
+    for points in (rng.integers(0, 256, (50, 64)), np.full((3, 1024), 255), rng.integers(0, 300, (20, 64)), rng.integers(0, 9, (5, 2048)), np.zeros((2, 64), int)):
+        a, b = rng.integers(0, len(points), (2, 500))
+        got = jaccard.overlap_bounds(jaccard.packed(points.astype(np.int32)), a, b)
+        assert (got == np.minimum(points[a], points[b]).sum(axis=1)).all()
+
+
 def test_group_keys_never_lose_a_pair():
     rng = np.random.default_rng(3)
     bands = jaccard.Bands(4, 5)
