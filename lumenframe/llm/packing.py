@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenframe.llm.common import byte_rows, cut, small
-from lumenframe.llm.tokens import encoder
+from lumenframe.llm.tokens import encoder, forget
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 FIELDS = [x.split()[0] for x in SCHEMA.split(", ")]
@@ -145,6 +145,7 @@ def _merged(size: int):
     kinds = [pa.int64()] * len(FIELDS)
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
+        forget()  # what is left has its ids already
         packer = Packer(size, 1, (1 << 62) + (key[0].as_py() << 32))
         for r in rows.sort_by([("sequence_id", "ascending"), ("offset", "ascending")]).to_pylist():
             packer.put((r["doc_id"], r["start"], r["left"], r["doc_tokens"]))

@@ -28,7 +28,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 #: Fixed value: how byte-level BPE vocabularies of this family split text.
 PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: How many words a process remembers, and how long they are at most; other words are counted or encoded each time.
-REMEMBERED, REMEMBERED_LENGTH = 1_000_000, 64
+REMEMBERED, REMEMBERED_LENGTH = 700_000, 64
 
 
 @functools.cache
@@ -207,6 +207,11 @@ class Encoder:
 _encoders: dict[str, Encoder] = {}
 
 
+def forget() -> None:
+    """Let go of the words that this process remembers."""
+    _encoders.clear()
+
+
 def encoder(path: str) -> Encoder:
     if path not in _encoders:
         _encoders[path] = Encoder(path)
