@@ -6,11 +6,12 @@ stage without a shuffle.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenframe.functions.numeric import byte_even, byte_floor, clamp, sigmoid
-from lumenframe.functions.planes import blurred, grid_factor, resampled, times
+from lumenframe.functions.planes import Taps, blurred, grid_factor, resampled, times
 
 EPSILON = 1e-5
 #: Usual means and deviations of red, green and blue.
@@ -73,24 +74,25 @@ def estimates(df: DataFrame, width: int, height: int, r1: int, r2: int) -> DataF
     return df.drop("_x", "_y", "_a1", "_a2")
 
 
-def bilinear(n_fine: int, n_coarse: int):
-    """Matrix that looks positions of a fine grid up in a coarse one; half-pixel centres, clamped at the edges."""
-    import numpy as np
-
+def bilinear(n_fine: int, n_coarse: int) -> Taps:
+    """Looks positions of a fine grid up in a coarse one; half-pixel centres, clamped at the edges."""
     at = np.clip((np.arange(n_fine) + 0.5) * (n_coarse / n_fine) - 0.5, 0, n_coarse - 1)
     low = np.floor(at).astype(int)
-    out = np.zeros((n_fine, n_coarse))
-    np.add.at(out, (np.arange(n_fine), low), 1 - (at - low))
-    np.add.at(out, (np.arange(n_fine), np.minimum(low + 1, n_coarse - 1)), at - low)
-    return out
+    share = at - low
+    return Taps(n_coarse, np.stack([low, np.minimum(low + 1, n_coarse - 1)], 1), np.stack([1 - share, share], 1))
 
 
-def foreground(df: DataFrame, width: int, height: int, radii: tuple[int, int] = (90, 6), work_pixels: int = 2_000_000) -> DataFrame:
-    """r, g, b, a of the cut-out from r, g, b and alpha; soft pixels get estimated colours, clear ones become 0, 0, 0, 0."""
+def working_grid(width: int, height: int, radii: tuple[int, int], work_pixels: int) -> tuple[int, int, int, int, int]:
+    """Reduction, size and radii of the grid on which colours are estimated."""
     s = grid_factor(width * height, work_pixels)
     half = lambda v: int(v + 0.5)
     ww, wh = (width, height) if s == 1 else (max(1, half(width / s)), max(1, half(height / s)))
-    r1, r2 = (max(1, half(r / s)) for r in radii)
+    return s, ww, wh, *(max(1, half(r / s)) for r in radii)
+
+
+def foreground(df: DataFrame, width: int, height: int, radii: tuple[int, int] = (90, 6), work_pixels: int = 2_000_000) -> DataFrame:
+    """r, g, b, a of the cut-out from r, g, b and alpha; soft pixels get estimated colours, clear ones become 0, 0, 0, 0."""
+    s, ww, wh, r1, r2 = working_grid(width, height, radii, work_pixels)
     for c in ("r", "g", "b", "alpha"):
         p = "p_a" if c == "alpha" else f"p_{c}"
         df = df.withColumn(p, F.transform(c, lambda v: v / 255.0))

@@ -10,6 +10,7 @@ from lumenframe.functions.numeric import byte_floor, half_up, micro, sigmoid
 from lumenframe.functions.planes import blurred, matmul, resampled
 from lumenframe.operators import matting as M
 from lumenframe.operators import resample as R
+from lumenframe.operators.images import cut_images
 from lumenframe.plans import sql as Q
 from lumenframe.plans.registry import query
 from lumenframe.sources import bindings as B
@@ -311,8 +312,8 @@ def c20_j07_bilinear_lookup(spark, sf_dir):
 
     df = B.rgba(spark, sf_dir).withColumn("plane", F.transform("r", lambda v: v / 255.0))
     df = resampled(df, "plane", 4, 4, 2, 2, "box", "small")
-    df = df.withColumn("row", across(c("small"), 2, 2, M.bilinear(4, 2)))
-    return _values(df.withColumn("out", down(c("row"), 4, 2, M.bilinear(4, 2))), "out", 4)
+    df = df.withColumn("row", across(c("small"), 2, 2, M.bilinear(4, 2).dense()))
+    return _values(df.withColumn("out", down(c("row"), 4, 2, M.bilinear(4, 2).dense())), "out", 4)
 
 
 @query(f"WITH {Q.RGBA} SELECT vec_id, count(*) FILTER (WHERE a NOT IN (0, 255)) AS soft, count(*) FILTER (WHERE a NOT IN (0, 255)) = 0 AS fast FROM rgba GROUP BY vec_id")
@@ -351,6 +352,31 @@ def c23_crop_rows(spark, sf_dir):
     return rows.select("label", "x", "y", micro(c("v")).alias("v"))
 
 
+_TALL_RGBA = (
+    Q.TALL
+    + ", shot AS (SELECT label AS vec_id, y * 64 + x AS p, x, y, floor(v * 255 + 0.5)::INT AS r, 255 - floor(v * 255 + 0.5)::INT AS g, floor(v * 255 + 0.5)::INT * 7 % 256 AS b, least(255, greatest(0, x * 8 + y % 32 - 120))::INT AS a FROM tall)"
+)
+
+
+def tall_images(spark, sf_dir) -> DataFrame:
+    """label, width, height, rgba, alpha: each label's image as bytes; its matte rises from left to right."""
+    hexed = lambda v: F.lpad(F.hex(v), 2, "0")
+    rows = B.tall(spark, sf_dir).withColumn("v", F.transform("plane", lambda v: F.floor(v * 255 + 0.5).cast("int")))
+    pixel = lambda v: F.concat(hexed(v), hexed(255 - v), hexed(v * 7 % 256), F.lit("FF"))
+    matte = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda x: hexed(F.least(F.lit(255), F.greatest(F.lit(0), x * 8 + c("y") % 32 - 120))))
+    rows = rows.select("label", "y", F.array_join(F.transform("v", pixel), "").alias("line"), F.array_join(matte, "").alias("cover"))
+    image = rows.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("y", "line", "cover"))).alias("rows"))
+    joined = lambda k: F.unhex(F.array_join(c(f"rows.{k}"), ""))
+    return image.select("label", F.lit(64).alias("width"), F.size("rows").alias("height"), joined("line").alias("rgba"), joined("cover").alias("alpha"))
+
+
+@query(f"WITH {_TALL_RGBA}, {_fixed_sql('shot', 20, 3)} SELECT vec_id AS label, p, r, g, b, a FROM done")
+def c22_cut_images(spark, sf_dir):
+    made = cut_images(tall_images(spark, sf_dir), "label", (20, 3)).select("label", F.hex("rgba").alias("text"), F.explode(F.sequence(F.lit(0), c("width") * c("height") - 1)).alias("p"))
+    byte = lambda k: F.conv(F.substring("text", c("p") * 8 + 2 * k + 1, F.lit(2)), 16, 10).cast("int")
+    return made.select("label", "p", *[byte(k).alias(n) for k, n in enumerate("rgba")])
+
+
 _DONE, _TARGET = (0.125, 0.1, 0.75, 0.8), (0.25, 0.3, 0.5, 0.4)
 
 

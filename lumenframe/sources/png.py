@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
-ROWS = 4 << 20  # bytes that the compressor takes at a time
+ROWS = 1 << 20  # bytes that the compressor takes at a time
 
 
 def framed(kind: bytes, data: bytes) -> bytes:
@@ -32,20 +32,26 @@ def paeth(left: np.ndarray, up: np.ndarray, corner: np.ndarray) -> np.ndarray:
     return np.where((a <= b) & (a <= c), left, np.where(b <= c, up, corner))
 
 
+def _rows(rgba: np.ndarray, begin: int, end: int) -> bytes:
+    """Some rows as differences from their Paeth predictors; only these rows and the one above are held twice."""
+    _, w, _ = rgba.shape
+    above = rgba[begin - 1 : begin] if begin else np.zeros_like(rgba[:1])
+    x = np.zeros((end - begin + 1, w + 1, 4), np.int16)
+    x[:1, 1:], x[1:, 1:] = above, rgba[begin:end]
+    rows = np.empty((end - begin, 1 + 4 * w), np.uint8)
+    rows[:, 0] = 4
+    rows[:, 1:] = ((x[1:, 1:] - paeth(x[1:, :-1], x[:-1, 1:], x[:-1, :-1])) & 255).reshape(end - begin, -1)
+    return rows.tobytes()
+
+
 def encode(rgba: np.ndarray) -> bytes:
     """height x width x 4 bytes as PNG."""
     if rgba.ndim != 3 or rgba.shape[2] != 4 or rgba.dtype != np.uint8:
         raise ValueError("height x width x 4 bytes are needed")
     h, w, _ = rgba.shape
-    x = rgba.astype(np.int16)
-    left, up, corner = np.zeros_like(x), np.zeros_like(x), np.zeros_like(x)
-    left[:, 1:], up[1:], corner[1:, 1:] = x[:, :-1], x[:-1], x[:-1, :-1]
-    rows = np.empty((h, 1 + 4 * w), np.uint8)
-    rows[:, 0] = 4
-    rows[:, 1:] = ((x - paeth(left, up, corner)) & 255).reshape(h, -1)
     packer, out, step = zlib.compressobj(6), [], max(1, ROWS // (1 + 4 * w))
-    for k in range(0, h, step):
-        out.append(packer.compress(rows[k : k + step].tobytes()))
+    for begin in range(0, h, step):
+        out.append(packer.compress(_rows(rgba, begin, min(h, begin + step))))
     out.append(packer.flush())
     return SIGNATURE + framed(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 6, 0, 0, 0)) + framed(b"IDAT", b"".join(out)) + framed(b"IEND", b"")
 

@@ -14,9 +14,11 @@ from lumenframe.functions import headers as H
 from lumenframe.functions import names as N
 from lumenframe.functions import planes as P
 from lumenframe.functions import sizing as S
+from lumenframe.operators import images as I
 from lumenframe.operators import jobs as J
 from lumenframe.operators import matting as M
 from lumenframe.operators import resample as R
+from lumenframe.operators.images import cut
 from lumenframe.plans import ORACLE_SQL, QUERIES
 from lumenframe.sources import png
 from lumenframe.streaming import jobs as streaming
@@ -246,3 +248,47 @@ def test_stream_into_history(spark, sf_dir, tmp_path):
     got = spark.read.parquet(str(tmp_path / "h" / "v0")).select("owner", "id")
     want = J.newest(history, now).select("owner", "id")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def photo(width, height):
+    """A disc with a soft edge on a pattern, and its matte."""
+    y, x = np.mgrid[:height, :width]
+    alpha = np.clip((0.4 - np.hypot(x - width / 2, y - height / 2) / min(width, height)) * 20 * 255, 0, 255).astype(np.uint8)
+    return np.dstack([x * 255 // width, y * 255 // height, (x + y) % 256, np.full_like(x, 255)]).astype(np.uint8), alpha
+
+
+@pytest.mark.parametrize("work", [2_000_000, 60])
+def test_image_pass_equals_planes(spark, work):
+    df, _, mix, alpha = scene(spark)
+    rgba = np.dstack([*mix, np.full_like(alpha, 255)]).astype(np.uint8)
+    got, want = cut(rgba, alpha.astype(np.uint8), (12, 3), work), M.foreground(df, 24, 8, (12, 3), work).first()
+    for k, c in enumerate("rgba"):
+        assert got[..., k].ravel().tolist() == want[c]
+
+
+def test_image_pass_in_strips(monkeypatch):
+    rgba, alpha = photo(70, 41)
+    whole = cut(rgba, alpha, (9, 2), 500)
+    monkeypatch.setattr(I, "STRIP", 140)
+    assert (cut(rgba, alpha, (9, 2), 500) == whole).all()
+    monkeypatch.setattr(png, "ROWS", 300)
+    assert (png.decode(png.encode(whole)) == whole).all()
+
+
+def test_image_rows(spark):
+    rgba, alpha = photo(30, 20)
+    rows = [(1, 30, 20, rgba.tobytes(), alpha.tobytes()), (2, 30, 21, rgba.tobytes(), alpha.tobytes()), (None, None, 20, None, None), (4, 0, 0, b"", b""), (1, 30, 20, rgba.tobytes(), bytes(600))]
+    df = spark.createDataFrame([(*r, "x", 0) for r in rows], "id int, width int, height int, rgba binary, alpha binary, error string, _key int")
+    made = I.cut_images(df, "id", packed=True).collect()
+    assert sorted(((r.id, r.error) for r in made), key=repr) == sorted([(1, None), (1, None), (2, "size and bytes differ"), (None, "no image"), (4, "no image")], key=repr)
+    images = [png.decode(bytes(r.png)) for r in made if r.png]
+    assert (images[0] == cut(rgba, alpha)).all() and not images[1].any()
+    assert I.cut_images(df.limit(0), "id").count() == 0
+
+
+def test_passes_equal_their_matrices():
+    v = np.random.default_rng(3).random((7, 11))
+    for p in (P.Sliding(11, 3), P.Sliding(11, 50), P.Sliding(11, 0), P.taps(11, 4, "box"), P.taps(11, 29, "bicubic"), M.bilinear(30, 11)):
+        assert p.along(v, 1) == pytest.approx(v @ p.dense().T)
+    assert P.Sliding(7, 2).along(v, 0) == pytest.approx(P.box(7, 2) @ v)
+    assert P.Sliding(1, 4).along(v[:1], 0) == pytest.approx(v[:1])
