@@ -30,7 +30,7 @@ def plan(width: Column, height: Column, max_output: Column, max_side: Column) ->
 
     Rounding may leave a few pixels too many: the longer side gives them up, the
     width first. At most four steps are needed, as flooring loses up to one pixel
-    a side; eight are unrolled.
+    a side; eight are folded. The fold is interpreted, so only sizes that need it take it.
     """
     scale = F.least(F.lit(1.0), F.sqrt(max_output / (width.cast("double") * height)), max_side / F.greatest(width, height).cast("double"))
     floor = lambda v: F.greatest(F.lit(1), F.floor(v * scale)).cast("long")
@@ -42,8 +42,8 @@ def plan(width: Column, height: Column, max_output: Column, max_side: Column) ->
         return F.struct((s["w"] - F.when(over & wide, 1).otherwise(0)).cast("long").alias("w"), (s["h"] - F.when(over & ~wide, 1).otherwise(0)).cast("long").alias("h"))
 
     fit = F.aggregate(F.sequence(F.lit(1), F.lit(8)), start, less)
-    full = scale >= 1
-    return F.struct(F.when(full, width).otherwise(fit["w"]).cast("long").alias("width"), F.when(full, height).otherwise(fit["h"]).cast("long").alias("height"), (~full).alias("scaled"))
+    side = lambda whole, k: F.when(scale >= 1, whole).when(floor(width) * floor(height) <= max_output, floor(whole)).otherwise(fit[k]).cast("long")
+    return F.struct(side(width, "w").alias("width"), side(height, "h").alias("height"), (scale < 1).alias("scaled"))
 
 
 def working_memory(width: Column, height: Column) -> Column:
