@@ -47,9 +47,9 @@ def hex_colour(value: Column) -> Column:
 
 
 def megabytes(n: Column, locale: str = "en") -> Column:
-    """One digit below 10 MB, none above; trailing zeros go; halves to even are not needed as halves go away from zero."""
+    """One digit below 10 MB, none above; trailing zeros go; halves go away from zero, so they are rounded before format_number, which takes them to even."""
     mb = n / 1000000.0
-    text = F.when(mb < 10, F.regexp_replace(F.format_number(mb, 1), r"\.0$", "")).otherwise(F.format_number(mb, 0))
+    text = F.when(mb < 10, F.regexp_replace(F.format_number(F.round(mb, 1), 1), r"\.0$", "")).otherwise(F.format_number(F.round(mb, 0), 0))
     return F.concat(F.translate(text, ",.", ".,") if locale == "de" else text, F.lit(" MB"))
 
 

@@ -2,6 +2,7 @@
 
 import datetime
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -292,3 +293,20 @@ def test_passes_equal_their_matrices():
         assert p.along(v, 1) == pytest.approx(v @ p.dense().T)
     assert P.Sliding(7, 2).along(v, 0) == pytest.approx(P.box(7, 2) @ v)
     assert P.Sliding(1, 4).along(v[:1], 0) == pytest.approx(v[:1])
+
+
+def differences(spark, duck_at, name: str) -> int:
+    """Rows that a query and its SQL do not share on the tables of a folder."""
+    con = duckdb.connect()
+    for path in duck_at.glob("*.parquet"):
+        con.execute(f"CREATE VIEW {path.stem} AS SELECT * FROM read_parquet('{path}')")
+    got, want = QUERIES[name](spark, str(duck_at)).toPandas(), con.execute(ORACLE_SQL[name]).df()
+    assert sorted(got.columns) == sorted(want.columns) and len(want)
+    return len(Counter(rows(got)) - Counter(rows(want))) + len(Counter(rows(want)) - Counter(rows(got)))
+
+
+def test_megabytes_halves_go_away_from_zero(spark, tmp_path):
+    df = spark.createDataFrame([(49_999 * 1_500_000,), (2_250_000,), (150_000,), (9_950_000,), (10_500_000,), (12_500_000,)], "n long")
+    assert [r[0] for r in df.select(N.megabytes(F.col("n"))).collect()] == ["74,999 MB", "2.3 MB", "0.2 MB", "10 MB", "11 MB", "13 MB"]
+    pd.DataFrame({"event_id": [500_000, 1_500_000, 3_500_000]}).to_parquet(tmp_path / "events.parquet")
+    assert differences(spark, tmp_path, "x04_megabytes") == 0
