@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -170,7 +171,8 @@ def r02_serial_queue(spark, sf_dir):
 
 
 def _mean_runner():
-    return lambda values: values.mean(axis=1, keepdims=True)
+    """The mean of 32-bit floats in doubles: a 32-bit sum is off by more than what the fourth digit's rounding leaves open."""
+    return lambda values: values.mean(axis=1, keepdims=True, dtype=np.float64)
 
 
 def _broken_runner():

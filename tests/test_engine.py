@@ -310,3 +310,13 @@ def test_megabytes_halves_go_away_from_zero(spark, tmp_path):
     assert [r[0] for r in df.select(N.megabytes(F.col("n"))).collect()] == ["74,999 MB", "2.3 MB", "0.2 MB", "10 MB", "11 MB", "13 MB"]
     pd.DataFrame({"event_id": [500_000, 1_500_000, 3_500_000]}).to_parquet(tmp_path / "events.parquet")
     assert differences(spark, tmp_path, "x04_megabytes") == 0
+
+
+def test_inference_means_are_not_summed_in_32_bits(spark, tmp_path):
+    v = np.random.default_rng(5).uniform(-0.5, 0.5, (400_000, 64)).astype(np.float32)
+    share = (v.astype(np.float64) + 0.5).astype(np.float32)
+    thousandths = lambda m: np.floor(np.floor(np.round(m.astype(np.float64), 4) * 1e6 + 0.5) / 1000)
+    odd = np.flatnonzero(thousandths(share.mean(axis=1)) != thousandths(share.mean(axis=1, dtype=np.float64)))
+    assert len(odd)  # rows that a 32-bit sum takes over a rounding's edge
+    pd.DataFrame({"vec_id": np.arange(len(odd)), "embedding": list(v[odd]), "label": 0}).to_parquet(tmp_path / "embeddings.parquet")
+    assert differences(spark, tmp_path, "c09_r09_inference") == 0
