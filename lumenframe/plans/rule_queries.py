@@ -163,7 +163,8 @@ _ARRIVAL = "epoch_ms(ts) // 60000"
     SELECT session, job, started::BIGINT AS started, finished::BIGINT AS finished FROM q""")
 def r02_serial_queue(spark, sf_dir):
     """Minutes at which each job starts and ends; the oracle goes from job to job."""
-    jobs = B.jobs(spark, sf_dir).select("session", "job", F.floor(F.unix_millis(c("ts").cast("timestamp")) / 60000).alias("arrival"), (c("job") % 600 + 1).cast("long").alias("work"))
+    rows = B.jobs(spark, sf_dir)
+    jobs = rows.select("session", "job", F.floor(B.millis(rows, "ts") / 60000).alias("arrival"), (c("job") % 600 + 1).cast("long").alias("work"))
     return J.serial(jobs).select("session", "job", "started", "finished")
 
 

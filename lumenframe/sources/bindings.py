@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import TimestampNTZType
 
 from lumenframe.functions.numeric import clamp
 
@@ -94,6 +95,14 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.col("url").alias("name"), F.encode("html", "UTF-8").alias("content"))
 
 
+def millis(df: DataFrame, name: str) -> Column:
+    """Milliseconds of a time since 1970. Times without a zone are taken as UTC, whatever zone the session has: a cast would read them in that."""
+    if df.schema[name].dataType != TimestampNTZType():
+        return F.unix_millis(name)
+    minutes = (F.unix_date(F.to_date(name)).cast("long") * 24 + F.hour(name)) * 60 + F.minute(name)
+    return minutes * 60000 + F.floor(F.date_part(F.lit("second"), name) * 1000)
+
+
 def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """session, job, stage, progress, ts, props."""
     c = F.col

@@ -320,3 +320,17 @@ def test_inference_means_are_not_summed_in_32_bits(spark, tmp_path):
     assert len(odd)  # rows that a 32-bit sum takes over a rounding's edge
     pd.DataFrame({"vec_id": np.arange(len(odd)), "embedding": list(v[odd]), "label": 0}).to_parquet(tmp_path / "embeddings.parquet")
     assert differences(spark, tmp_path, "c09_r09_inference") == 0
+
+
+@pytest.mark.parametrize("name", ["r02_serial_queue"])
+def test_times_do_not_follow_the_session_zone(spark, tmp_path, name):
+    n = 400  # every twenty minutes, over both changes of the clock in that zone
+    at = np.concatenate([pd.date_range(day, periods=n // 2, freq="20min").to_numpy() for day in ("2024-03-09", "2024-11-02")]).astype("datetime64[us]")
+    events = pd.DataFrame({"event_id": np.arange(n), "ts": at, "user_id": np.arange(n) % 3, "event_type": np.where(np.arange(n) % 5, "view", "click"), "value": np.arange(n) * 7 % 100 + 0.25, "props": "{}"})
+    events.to_parquet(tmp_path / "events.parquet", coerce_timestamps="us")
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+    try:
+        assert differences(spark, tmp_path, name) == 0
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
