@@ -486,8 +486,9 @@ _AT = "epoch_ms(ts) // 864000"
         FROM f JOIN o ON o.session = f.session AND o.k = f.k + 1)
     SELECT session, ms, phase, {Q.micro('loaded')} AS loaded FROM f WHERE kept""")
 def w06_r07_throttle(spark, sf_dir):
-    at = F.floor(F.unix_millis(c("ts").cast("timestamp")) / 864000).cast("long")
-    rows = B.jobs(spark, sf_dir).select("session", at.alias("at"), F.when(c("stage") < "m", "a").otherwise("b").alias("phase"), c("progress").alias("loaded"), F.lit(95.0).alias("total"))
+    jobs = B.jobs(spark, sf_dir)
+    at = F.floor(B.millis(jobs, "ts") / 864000).cast("long")
+    rows = jobs.select("session", at.alias("at"), F.when(c("stage") < "m", "a").otherwise("b").alias("phase"), c("progress").alias("loaded"), F.lit(95.0).alias("total"))
     return J.throttled(rows).select("session", c("at").alias("ms"), "phase", micro(c("loaded")).alias("loaded"))
 
 

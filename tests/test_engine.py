@@ -322,7 +322,7 @@ def test_inference_means_are_not_summed_in_32_bits(spark, tmp_path):
     assert differences(spark, tmp_path, "c09_r09_inference") == 0
 
 
-@pytest.mark.parametrize("name", ["r02_serial_queue"])
+@pytest.mark.parametrize("name", ["r02_serial_queue", "w06_r07_throttle"])
 def test_times_do_not_follow_the_session_zone(spark, tmp_path, name):
     n = 400  # every twenty minutes, over both changes of the clock in that zone
     at = np.concatenate([pd.date_range(day, periods=n // 2, freq="20min").to_numpy() for day in ("2024-03-09", "2024-11-02")]).astype("datetime64[us]")
