@@ -187,16 +187,38 @@ def bounded_pairs(key: np.ndarray, doc: np.ndarray, n: np.ndarray, vectors: list
     return np.unique(found[:, found[0] != found[1]], axis=1)
 
 
+def connecting(found: np.ndarray, parent: dict[int, int]) -> np.ndarray:
+    """Of edges (a, b) those that connect what parent, which goes on from call to call, did not yet connect."""
+
+    def root(x: int) -> int:
+        while (up := parent.get(x, x)) != x:
+            parent[x] = x = parent.get(up, up)
+        return x
+
+    keep = []
+    for k, (a, b) in enumerate(zip(*found.tolist(), strict=True)):
+        x, y = root(a), root(b)
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+            keep.append(k)
+    return found[:, keep]
+
+
 def bound_rows(num: int, den: int):
-    """Rows (key, doc_id, n, counts) sorted by key -> edges. A key's rows may go over several batches."""
+    """Rows (key, doc_id, n, counts) sorted by key -> edges. A key's rows may go over several batches.
+
+    Near copies share many keys, so a task gives a forest over all its keys: fewer edges
+    than it has documents, with the same components.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[pa.RecordBatch] = []
+        parent: dict[int, int] = {}
 
         def edges() -> pa.RecordBatch:
             rows = pa.Table.from_batches(kept)
             column = lambda k: rows.column(k).to_numpy()
-            found = bounded_pairs(column(0), column(1), column(2), rows.column(3).to_pylist(), num, den)
+            found = connecting(bounded_pairs(column(0), column(1), column(2), rows.column(3).to_pylist(), num, den), parent)
             return pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], names=["a", "b"])
 
         for batch in batches:

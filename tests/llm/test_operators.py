@@ -11,6 +11,7 @@ from html.parser import HTMLParser
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -72,6 +73,22 @@ def test_jaccard_equals_brute_force(spark, size, num, den, tile):
     assert len(got) == len(texts)
 
 
+def test_edges_of_a_task_are_a_forest():
+    """A group of near copies that meets in many keys and batches gives its edges once, and two groups stay apart."""
+    docs, keys = 40, 30
+    counts = [jaccard.counts_of(np.arange(200, dtype=np.uint64)).astype("<u2").tobytes(), jaccard.counts_of(np.arange(0, 64 * 200, 64, dtype=np.uint64)).astype("<u2").tobytes()]
+    rows = sorted((key, doc) for key in range(keys) for doc in range(docs))
+    column = lambda k: [r[k] for r in rows]
+    batch = pa.RecordBatch.from_arrays([pa.array(column(0), pa.int64()), pa.array(column(1), pa.int64()), pa.array([200] * len(rows), pa.int64()), pa.array([counts[d % 2] for d in column(1)], pa.binary())], names=["key", "doc_id", "n", "counts"])
+    made = pa.Table.from_batches(list(jaccard.bound_rows(9, 10)(batch.slice(k, 97) for k in range(0, len(rows), 97))))
+    edges = list(zip(*(made.column(k).to_pylist() for k in "ab"), strict=True))
+    assert len(edges) == docs - 2 and all(a % 2 == b % 2 for a, b in edges)
+    reached = {0, 1}
+    for _ in range(docs):
+        reached |= {x for e in edges if reached & {*e} for x in e}
+    assert reached == set(range(docs))
+
+
 def test_jaccard_nulls_repeats_and_empty(spark):
     df = docs_of(spark, ["a b c d", "a b c d", "a b c d", None], [5, 5, None, 6])
     got = sorted((r.doc_id or -1, r.n_shingles, r.component_id) for r in jaccard.jaccard_components(df).collect())
