@@ -100,3 +100,24 @@ def cut_images(df: DataFrame, key: str, radii: tuple[int, int] = (90, 6), work_p
 
     chosen = df.select(df[key].alias("_key"), df["width"].cast("int"), df["height"].cast("int"), "rgba", "alpha")
     return chosen.mapInArrow(run, f"_key {kind}, width int, height int, {made} binary, error string").withColumnRenamed("_key", key)
+
+
+def pixel_rows(df: DataFrame, key: str) -> DataFrame:
+    """(key, rgba) -> key, p, r, g, b, a: one row for each pixel, in strips; images without a result give none.
+
+    Expressions would read or copy the whole image again for each pixel.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                if (data := batch.column(1)[k].as_buffer()) is None:
+                    continue
+                image = np.frombuffer(data, np.uint8).reshape(-1, 4)
+                for low in range(0, len(image), STRIP):
+                    part = image[low : low + STRIP].astype(np.int32)
+                    at = pa.array(np.arange(low, low + len(part), dtype=np.int32))
+                    yield pa.RecordBatch.from_arrays([pa.repeat(batch.column(0)[k], len(part)), at, *(pa.array(part[:, c].copy()) for c in range(4))], names=["_key", "p", *"rgba"])
+
+    kind = df.schema[key].dataType.simpleString()
+    return df.select(df[key].alias("_key"), "rgba").mapInArrow(run, f"_key {kind}, p int, r int, g int, b int, a int").withColumnRenamed("_key", key)

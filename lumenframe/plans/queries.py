@@ -10,7 +10,7 @@ from lumenframe.functions.numeric import byte_floor, half_up, micro, sigmoid
 from lumenframe.functions.planes import blurred, matmul, resampled
 from lumenframe.operators import matting as M
 from lumenframe.operators import resample as R
-from lumenframe.operators.images import cut_images
+from lumenframe.operators.images import cut_images, pixel_rows
 from lumenframe.plans import sql as Q
 from lumenframe.plans.registry import query
 from lumenframe.sources import bindings as B
@@ -372,9 +372,8 @@ def tall_images(spark, sf_dir) -> DataFrame:
 
 @query(f"WITH {_TALL_RGBA}, {_fixed_sql('shot', 20, 3)} SELECT vec_id AS label, p, r, g, b, a FROM done")
 def c22_cut_images(spark, sf_dir):
-    made = cut_images(tall_images(spark, sf_dir), "label", (20, 3)).select("label", F.hex("rgba").alias("text"), F.explode(F.sequence(F.lit(0), c("width") * c("height") - 1)).alias("p"))
-    byte = lambda k: F.conv(F.substring("text", c("p") * 8 + 2 * k + 1, F.lit(2)), 16, 10).cast("int")
-    return made.select("label", "p", *[byte(k).alias(n) for k, n in enumerate("rgba")])
+    """On the grid of full size, whatever the images' size, as the SQL has no other."""
+    return pixel_rows(cut_images(tall_images(spark, sf_dir), "label", (20, 3), work_pixels=1 << 62), "label")
 
 
 _DONE, _TARGET = (0.125, 0.1, 0.75, 0.8), (0.25, 0.3, 0.5, 0.4)

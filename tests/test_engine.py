@@ -334,3 +334,11 @@ def test_times_do_not_follow_the_session_zone(spark, tmp_path, name):
         assert differences(spark, tmp_path, name) == 0
     finally:
         spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_pixel_rows_in_strips(spark, monkeypatch):
+    monkeypatch.setattr(I, "STRIP", 7)
+    data = np.random.default_rng(2).integers(0, 256, (20, 4)).astype(np.uint8)
+    df = spark.createDataFrame([(3, bytearray(data.tobytes())), (4, None)], "k int, rgba binary")
+    got = I.pixel_rows(df, "k").orderBy("p").collect()
+    assert [tuple(r) for r in got] == [(3, p, *map(int, v)) for p, v in enumerate(data)]
